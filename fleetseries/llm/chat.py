@@ -73,9 +73,9 @@ r AS (
   WINDOW w AS (PARTITION BY t.conv_id, p.speaker, t.part ORDER BY t.turn, t.role, t.text)),
 o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY k
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r)
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
 SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
-       coalesce(string_agg(CASE WHEN role = speaker THEN CAST(CAST(at + length(head) AS BIGINT) AS VARCHAR) || ':' ||
-                  CAST(CAST(at + length(head) + length(body) AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS mask
+       coalesce(string_agg(CASE WHEN role = speaker THEN CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' ||
+                  CAST(CAST(pos + length(head) + length(body) AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS mask
 FROM o GROUP BY conv_id, speaker, part
 """

@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Three categories are predicted one after the other: insults, contempt, and toxicity as a whole. Each has a logistic
-model over indicators of the words that tell it best (chi-squared, at most WORDS), and the later models also read the
+model over indicators of the words and word beginnings that tell it best (chi-squared, at most WORDS), and the later models also read the
 earlier categories' probabilities. For fitting they read out-of-fold ones, as a model's probabilities for its own
 training rows would be too sure. A label marks a document as toxic; its categories are those of CATEGORIES whose
 terms a toxic document holds, so that the first links learn from part of the toxic documents each.
@@ -35,10 +35,14 @@ CATEGORIES = {
 }
 CHAIN = (*CATEGORIES, "toxic")
 WORD = re.compile(r"\w+")
+#: Lengths of the word beginnings that count as features.
+STEMS = (5, 7)
 
 
 def words(text: str | None) -> set[str]:
-    return set(WORD.findall((text or "").lower()))
+    """The distinct words of a text, and the beginnings of longer ones (marked by a star), which inflected terms share."""
+    own = set(WORD.findall((text or "").lower()))
+    return own.union(*([w[:k] + "*" for w in own if len(w) >= k] for k in STEMS))
 
 
 def telling(docs: list[set[str]], y: np.ndarray) -> list[str]:
