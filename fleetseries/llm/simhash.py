@@ -205,7 +205,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id can't be told apart and stay only where their component has no other doc_id, once.
     """
-    judged = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("__c"))
-    kept = judged.where(F.col("doc_id").eqNullSafe(F.col("__c"))).select(F.col("doc_id").alias("__d"))
-    out = docs.join(cut(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    ids = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
+    judged = cut(ids.where("doc_id is null or doc_id <> c or n > 1"), "judged")  # the few that need more than to stay
+    gone = judged.where("doc_id is not null").select("doc_id")
+    once = judged.where(F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("__d"))
+    stay = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
+    again = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi").dropDuplicates(["doc_id"])
+    return stay.select(*docs.columns).unionByName(again)
