@@ -1,0 +1 @@
+"""Reserved: the batch operators need no stream, and none is claimed."""
