@@ -221,6 +221,51 @@ def grid_threshold(scores: DataFrame, keys: list[str], points: int = 400) -> Dat
     return f1.withColumn("r", best).where("r = 1").select(*keys, "thr", "f1")
 
 
+
+#: The shares of points, in percent, that ratio_threshold tries in this order.
+RATIOS = (0.1, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0, 15.0, 20.0, 25.0)
+
+
+def ratio_threshold(scores: DataFrame, keys: list[str], ratios: tuple[float, ...] = RATIOS) -> DataFrame:
+    """thr, ratio and f1: the first best of the quantiles that leave each share of the points above them."""
+    cuts = scores.groupBy(*keys).agg(F.percentile("score", F.array(*(F.lit(1 - r / 100) for r in ratios))).alias("q"), F.sum("label").alias("pos"))
+    above = lambda k: F.col("score") > F.get("q", F.lit(k))
+    counted = scores.join(cuts, keys).groupBy(*keys, "pos", "q").agg(
+        F.array(*(F.struct(F.count_if(above(k)).alias("n"), F.sum(F.when(above(k), F.col("label")).otherwise(0)).alias("tp")) for k in range(len(ratios)))).alias("c")
+    )
+    f1 = F.coalesce(F.try_divide(2 * F.col("c.tp"), F.col("c.n") + F.col("pos")), F.lit(0.0))
+    each = counted.select(*keys, "pos", "q", F.posexplode("c").alias("k", "c")).select(*keys, "k", F.get("q", F.col("k")).alias("thr"), f1.alias("f1"))
+    return each.groupBy(*keys).agg(F.max_by(F.struct("thr", "k", "f1"), F.struct("f1", -F.col("k"))).alias("b")).select(
+        *keys, "b.thr", F.get(F.array(*(F.lit(r) for r in ratios)), F.col("b.k")).alias("ratio"), "b.f1"
+    )
+
+
+def base_rate_threshold(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """thr: the quantile of the scores at one minus the share of labelled points, between the two order statistics next to it."""
+    size = scores.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("label").alias("rate"))
+    counts = scores.groupBy(*keys, "score").agg(F.count("*").alias("c"))
+    upto = counts.withColumn("hi", F.sum("c").over(W.partitionBy(*keys).orderBy("score"))).join(size, keys)
+    place = (1 - F.col("rate")) * (F.col("n") - 1)
+    holds = lambda k: F.max(F.when((F.col("hi") - F.col("c") <= k) & (k < F.col("hi")), F.col("score")))
+    ends = upto.groupBy(*keys, "n", "rate").agg(holds(F.floor(place)).alias("a"), holds(F.ceil(place)).alias("b"))
+    return ends.select(*keys, "rate", (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("thr"))
+
+
+def frozen_thresholds(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """f1 of each entity under the threshold of each source in its cluster.
+
+    Points are counted by how many of the cluster's thresholds they pass, so they are not multiplied by the sources.
+    """
+    ranked = thresholds.withColumn("b", F.row_number().over(W.partitionBy("cluster").orderBy("thr", "source")))
+    steps = ranked.groupBy("cluster").agg(F.array_sort(F.collect_list("thr")).alias("__q"))
+    passed = F.size(F.filter("__q", lambda q: q < F.col("score")))
+    bins = scores.join(steps, "cluster").groupBy("cluster", F.col("entity").alias("target"), passed.alias("b")).agg(F.count("*").alias("n"), F.sum("label").alias("tp"))
+    total = bins.groupBy("cluster", "target").agg(F.sum("tp").alias("pos"))
+    above = W.partitionBy("target").orderBy(F.desc("b"))
+    grid = total.join(ranked, "cluster").join(bins, ["cluster", "target", "b"], "left").fillna(0, ["n", "tp"])
+    counted = grid.withColumns({"n": F.sum("n").over(above), "tp": F.sum("tp").over(above)})
+    return counted.select("source", "target", F.coalesce(F.try_divide(2 * F.col("tp"), F.col("n") + F.col("pos")), F.lit(0.0)).alias("f1"))
+
 # -- metrics -------------------------------------------------------------------------------------------
 
 

@@ -103,6 +103,19 @@ def reveal_events(series: DataFrame, spans: DataFrame, k: int) -> DataFrame:
     return series.join(ends, KEYS).where(F.col("t") > F.col("__end")).drop("__end", "__c")
 
 
+def eligibility(series: DataFrame, least: dict[str, int]) -> DataFrame:
+    """(entity, reason): the first split that is shorter than it must be, or eligible."""
+    sizes = series.groupBy("entity").agg(*(F.count_if(F.col("split") == part).alias(part) for part in least))
+    reason = F.coalesce(*(F.when(F.col(part) < n, F.lit(f"short_{part}")) for part, n in least.items()), F.lit("eligible"))
+    return sizes.select("entity", reason.alias("reason"))
+
+
+def capped(series: DataFrame, entities: int, steps: int) -> DataFrame:
+    """The first steps of the first entities, by name. Names are ranked on their own, not with their points."""
+    first = series.select("entity").distinct().orderBy("entity").limit(entities)
+    return series.where(F.col("t") < steps).join(first, "entity", "left_semi")
+
+
 # -- scaling -------------------------------------------------------------------------------------------
 
 
@@ -156,6 +169,23 @@ def sliding_windows(series: DataFrame, width: int, stride: int, value: str = "va
     return made.where((F.col("t") % stride == 0) & (F.size("w") == width)).select("entity", "cluster", "split", "channel", F.col("t").alias("w_start"), (F.col("t") + width).alias("w_stop"), "w")
 
 
+def richness(windows: DataFrame) -> DataFrame:
+    """windows with richness: their sample deviation plus three times the share of places where the step's sign flips."""
+    n = F.size("w")
+    mean = F.aggregate("w", F.lit(0.0), lambda a, x: a + x) / n
+    sd = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1))
+    at = lambda k: F.get("w", k)
+    flips = F.size(F.filter(F.sequence(F.lit(1), n - 2), lambda k: F.signum(at(k) - at(k - 1)) != F.signum(at(k + 1) - at(k))))
+    return windows.withColumn("richness", sd + 3 * flips / (n - 2))
+
+
+def label_density(series: DataFrame, width: int, context: float = 0.1) -> DataFrame:
+    """Labelled points of each full tumbling window, their share, and whether enough normal points are left for context."""
+    each = series.groupBy(*KEYS, (F.col("t") - F.col("t") % width).alias("w_start")).agg(F.count("*").alias("__n"), F.sum("label").alias("n_pos"))
+    share = F.col("n_pos") / F.col("__n")
+    return each.where(F.col("__n") == width).withColumns({"density": share, "has_context": (share <= 1 - context).cast("int")}).drop("__n")
+
+
 def n_windows(length: Column, width: int, stride: int) -> Column:
     return F.when(length < width, F.lit(0)).otherwise(F.floor((length - width) / stride) + 1).cast("long")
 
