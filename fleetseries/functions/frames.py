@@ -7,6 +7,7 @@ totals, which are a small table.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -76,3 +77,11 @@ def runs(df: DataFrame, flag: Column, keys: tuple[str, ...] = SERIES_KEYS, t: st
     marked = framed(df.withColumn("__f", F.coalesce(flag, F.lit(False))), 1, 0, {"__p": lambda w: F.lag("__f").over(w)}, keys, t)
     start = (F.col("__f") & ~F.coalesce("__p", F.lit(False))).cast("long")
     return running_sum(marked, start, "run_id", keys, t).where("__f").drop("__f", "__p")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in spark.checkpoint.dir; a folder of our own is taken only where that is unset."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetseries-"))
+    return df.checkpoint()
