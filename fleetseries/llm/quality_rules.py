@@ -93,8 +93,8 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) >= WINDOW, let(hashed, lambda h: let(windows(h), under))).otherwise(F.lit(0))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the base statistics of every whole text."""
+def statistics(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, lang, source, the base statistics of every whole text, and more."""
     text = F.coalesce("text", F.lit(""))
     bare = F.btrim(text, F.lit(SPACE))
     words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_GAP, -1))
@@ -110,8 +110,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "lang", "source", stats.alias("s"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    ).select("doc_id", "lang", "source", "s.n_words", "s.word_chars", "n_symbols", "n_dup_lines", "s.n_repeat_words")
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), *more,
+    ).select("*", "s.n_words", "s.word_chars", "s.n_repeat_words").drop("s")
 
 
 def failed() -> Column:
@@ -135,9 +135,8 @@ MU = [f"mu{k}" for k in range(DIMS)]
 LOW = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
-def grouped(stats: DataFrame) -> DataFrame:
-    """stats with the group, a string, that judges each row; null where there are too few rows."""
-    named = stats.withColumn("ls", F.to_json(F.struct("lang", "source"))).withColumn("l", F.to_json(F.struct("lang")))
+def groups(named: DataFrame) -> DataFrame:
+    """(ls, g): the group, a string, that judges the rows of each ls; null where there are too few rows."""
     counts = named.where(~failed()).groupBy("ls", "l").agg(F.count("*").alias("n"))
     small = F.col("n") < LEAST
     own = counts.withColumn("m", F.sum(F.when(small, F.col("n")).otherwise(0)).over(W.partitionBy("l")))
@@ -147,8 +146,7 @@ def grouped(stats: DataFrame) -> DataFrame:
         .when(F.col("m") >= LEAST, F.col("l"))
         .when(F.col("r") >= LEAST, F.lit("*"))
     )
-    table = cut(own.crossJoin(F.broadcast(rest)).select("ls", group.alias("g")), "quality-groups")
-    return named.join(table, "ls", "left").drop("ls", "l")
+    return cut(own.crossJoin(F.broadcast(rest)).select("ls", group.alias("g")), "quality-groups")
 
 
 def quantiles(cells: DataFrame) -> DataFrame:
@@ -215,23 +213,29 @@ def estimates(cells: DataFrame) -> DataFrame:
     return fit
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, base_failed, kept and the robust distance (null where the base alone decides) of every document."""
-    stats = cut(statistics(docs), "quality-statistics")
-    named = cut(grouped(stats), "quality-named")
+def judged(stats: DataFrame) -> DataFrame:
+    """stats with base_failed, kept and distance2, the robust distance (null where the base alone decides)."""
+    named = stats.withColumn("ls", F.to_json(F.struct("lang", "source"))).withColumn("l", F.to_json(F.struct("lang")))
     for x, v in zip(X, vector(), strict=True):
         named = named.withColumn(x, v)
-    sound = named.where(~failed() & F.col("g").isNotNull())
+    table = groups(named)
+    sound = named.where(~failed()).join(table.where(F.col("g").isNotNull()), "ls")
     cells = cut(sound.groupBy("g", *X).agg(F.count("*").alias("n")), "quality-cells")
-    judged = named.join(estimates(cells).drop("start", "log_det"), "g", "left")
+    limits = cut(table.join(estimates(cells).drop("start", "log_det"), "g", "left"), "quality-limits")
     d2 = F.when(~failed(), distance() / CONSISTENT)
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed().alias("base_failed"),
-        (~failed() & F.coalesce(d2 <= CUTOFF, F.lit(True))).alias("kept"), F.round(d2, 6).alias("distance2"),
-    )
+    return named.join(limits, "ls", "left").select(
+        *stats.columns, failed().alias("base_failed"), (~failed() & F.coalesce(d2 <= CUTOFF, F.lit(True))).alias("kept"), F.round(d2, 6).alias("distance2")
+    )
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the base statistics, base_failed, kept and the robust distance (null where the base alone decides) of every document."""
+    return judged(cut(statistics(docs), "quality-statistics")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2"
+    )
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """docs without the documents that judge rejects. Rows that share a doc_id, or have none, stand or fall together."""
-    bad = judge(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(cut(bad, "quality-rejected"), F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    """docs without the rows that judge rejects. Each row is written beside its statistics and judged there, whatever its doc_id."""
+    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("__doc")
+    return judged(cut(statistics(docs, whole), "quality-documents")).where("kept").select("__doc.*")

@@ -81,6 +81,16 @@ def test_outliers_are_rejected_and_sound_rows_stay(spark):
     assert not any(got[1000 + k] for k in range(3)) and sum(got[k] for k in range(150)) >= 148
 
 
+def test_rejected_rows_take_no_others_along(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice(["ab", "abcd", "abcdef", "abcdefgh"]) + str(rng.randint(0, 999)) for _ in range(n))
+    sound = [(k, text(100), "en", "s", 1) for k in (None, None, 7, 7, 8)]
+    short = [(k, text(5), "en", "s", 2) for k in (None, 7, 9)]
+    docs = spark.createDataFrame(sound + short, "doc_id long, text string, lang string, source string, kept int")
+    got = quality_rules.keep(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(sound, key=str)
+
+
 def brute_fingerprint(text):
     w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words(text)]
     if not w:
