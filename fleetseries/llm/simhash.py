@@ -35,6 +35,7 @@ SHINGLE_WORDS, SEED, WITHIN = 3, 42, 2
 #: Keys with more fingerprints than this are linked through points instead of pairs.
 SMALL = 16
 SEGMENTS = (22, 21, 21)
+ROW = "__row"
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the Golay code.
 GENERATOR = 0b110001110101
 
@@ -58,15 +59,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, *more, fp): the fingerprint of every whole text, as a signed long, and more columns of longs."""
+    names = ["doc_id", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps)], names=[*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*(F.col(c).cast("long").alias(c) for c in names), "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 @lru_cache(maxsize=1)
@@ -182,17 +184,19 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
 
 
+def classes(distinct: DataFrame) -> DataFrame:
+    """distinct (one row a fp, with a column first) and least: the smallest first of all fingerprints that links reach."""
+    roots = cut(components(links(distinct)), "roots")
+    smallest = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("first").alias("least"))
+    linked = roots.join(cut(smallest, "smallest"), "root").select(F.col("node").alias("fp"), "least")
+    return cut(distinct.join(linked, "fp", "left").withColumn("least", F.coalesce("least", "first")), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id among all documents that links reach."""
     prints = cut(fingerprints(docs), "fingerprints")
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = cut(components(links(distinct)), "roots")
-    smallest = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = roots.join(cut(smallest, "smallest"), "root").select(F.col("node").alias("fp"), "component_id")
-    classes = cut(
-        distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "classes"
-    )
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    return prints.join(classes(distinct), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -201,14 +205,14 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component; of rows that share a doc_id, one stays.
+    """One row of docs from each component: that of the smallest doc_id, null last; of those that share it, the first row.
 
-    Rows with a null doc_id can't be told apart and stay only where their component has no other doc_id, once.
+    Rows are told apart by a number that is written with them, so that equal or null doc_ids bind nothing together.
     """
-    ids = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    judged = cut(ids.where("doc_id is null or doc_id <> c or n > 1"), "judged")  # the few that need more than to stay
-    gone = judged.where("doc_id is not null").select("doc_id")
-    once = judged.where(F.col("doc_id").eqNullSafe(F.col("c"))).select(F.col("doc_id").alias("__d"))
-    stay = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    again = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).unionByName(again)
+    numbered = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    prints = cut(fingerprints(numbered, ROW), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
+    distinct = cut(prints.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    more = classes(distinct).where((F.col("n") > 1) | (F.col(f"first.{ROW}") != F.col(f"least.{ROW}")))  # all but rows alone
+    gone = prints.join(more, "fp").where(F.col(ROW) != F.col(f"least.{ROW}")).select(ROW)
+    return numbered.join(cut(gone, "gone"), ROW, "left_anti").select(*docs.columns)

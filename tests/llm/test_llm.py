@@ -179,6 +179,15 @@ def test_plan_holds_demand():
     assert dict(held) == demand
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(50)) for _ in range(5))
+    rows = [(None, a, 1), (3, a, 2), (None, b, 3), (None, c, 4), (None, c, 5), (7, d, 6), (7, e, 7), (2, e, 8), (3, b, 9), (7, d, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at int").coalesce(1)
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r.at for r in got.collect()) == [2, 4, 6, 8, 9]
+
+
 def brute_base(text):
     keyword = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     out = [("assign", *m.span()) for m in re.finditer(keyword + r"[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
