@@ -208,6 +208,17 @@ def test_secret_patterns_equal_brute_force(docs, nothing):
     assert secret_scan.redact(docs).where("text like '%deadbeef%'").count() == 0
 
 
+def test_network_is_asked_about_letters_alone_and_short_runs(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    plain = sorted({r[1:] for x in texts for r in secret_scan.findings(x) if r[0] == 0})
+    model = secret_scan.learnt([], plain)
+    rng = random.Random(4)
+    keys = ["".join(rng.choice(secret_scan.LETTERS[k % 3]) for _ in range(13 + k)) for k in range(30)]
+    found = secret_scan.spans([f"it is {k} there" for k in keys], model)
+    assert sum(("net", 6, 6 + len(k)) in f for k, f in zip(keys, found, strict=True)) >= 15
+    assert sum(k == "net" for f in secret_scan.spans(texts, model) for k, *_ in f) <= 0.02 * len(plain)
+
+
 def test_media_round_trip(docs, nothing):
     for r in media_audio.digests(docs).collect():
         assert r.payload_bytes % 64 == 0 and r.payload_bytes >= max(64, r.n_bytes)
