@@ -219,6 +219,13 @@ def test_network_is_asked_about_letters_alone_and_short_runs(spark):
     assert sum(k == "net" for f in secret_scan.spans(texts, model) for k, *_ in f) <= 0.02 * len(plain)
 
 
+def test_threshold_holds_the_recall_of_real_and_of_drawn_secrets():
+    p = np.concatenate([np.linspace(0.2, 0.4, 40), np.linspace(0.6, 1, 400), np.zeros(50)])
+    which = np.repeat([1, 2, 0], [40, 400, 50])
+    threshold = secret_scan.recalling(p, which)
+    assert all((p[which == k] >= threshold).mean() >= secret_scan.RECALL for k in (1, 2)) and threshold > 0.2
+
+
 def test_media_round_trip(docs, nothing):
     for r in media_audio.digests(docs).collect():
         assert r.payload_bytes % 64 == 0 and r.payload_bytes >= max(64, r.n_bytes)
