@@ -4,8 +4,10 @@ For every participant of a conversation the dialogue is rendered once with that
 others as named users; system turns stay system turns. The mask lists the stretches (code points, end exclusive)
 that the assistant says, which are those to train on.
 
-A dialogue comes in parts of PART_TURNS turn numbers, so that no conversation, however long, has to fit into one
-row; a conversation with fewer turns is one part, number 0, and longer ones join by part number.
+A dialogue comes in parts of PART_TURNS turn numbers, which join by part number; turns below PART_TURNS are part 0.
+A long conversation need not fit into one row where its turns are numbered through. Not bounded is a part in which
+many rows share turn numbers, or have none, as all rows without a conv_id may: it is one array in one task, and one
+text a speaker, so beyond 2 GB the job fails.
 
 Cases: a null role is the speaker "unknown"; a null text is an empty turn; a null turn counts as turn 0; turns of one
 number, and repeated rows, follow by role, then text; a null conv_id is a conversation of its own; a conversation
