@@ -8,6 +8,7 @@ totals, which are a small table.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -72,6 +73,49 @@ def dense_index(df: DataFrame, keys: tuple[str, ...], bucket: Column, order: lis
     return dealt.join(offsets, [*keys, "__bucket"]).withColumn(name, F.col("__offset") + rank).drop("__bucket", "__offset")
 
 
+def value_bucket(value: Column, per_e: int = 64) -> Column:
+    """A long that never falls as value rises: 64 buckets a factor of e on each side of zero; NaN, the greatest, last; null stays null."""
+    depth = F.floor(F.least(F.log(F.abs(value)), F.lit(1e4)) * per_e).cast("long") + 746 * per_e
+    return F.when(F.isnan(value), F.lit(1 << 40)).when(value == 0, F.lit(0)).when(value > 0, depth).otherwise(-depth)
+
+
+def value_sums(
+    df: DataFrame, keys: list[str], value: str, sums: dict[str, Column], falling: bool = False, bucket: Callable[[Column], Column] = value_bucket
+) -> DataFrame:
+    """df with running sums by key in the order of value, up to and including a row; equal values must be one row.
+
+    A key is dealt to many tasks by buckets of the value; their totals, a row a bucket, give the offsets.
+    """
+    order = F.desc if falling else F.asc
+    dealt = df.withColumn("__bucket", bucket(F.col(value))).withColumns({f"__{n}": c for n, c in sums.items()})
+    totals = dealt.groupBy(*keys, "__bucket").agg(*(F.sum(f"__{n}").alias(f"__t_{n}") for n in sums))
+    earlier = W.partitionBy(*keys).orderBy(order("__bucket")).rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        *(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__bucket").alias("__b"), *(F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__o_{n}") for n in sums)
+    )
+    same = F.col("__bucket").eqNullSafe(F.col("__b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    within = W.partitionBy(*keys, "__bucket").orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
+    return dealt.join(offsets, same).select(*df.columns, *((F.col(f"__o_{n}") + F.sum(f"__{n}").over(within)).alias(n) for n in sums))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, made: dict[str, float]) -> DataFrame:
+    """Exact quantiles by key, with linear interpolation between the order statistics next to each; nulls don't count.
+
+    Values are counted, and their places found by value_sums, so no task holds all values of a key.
+    """
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    size = known.groupBy(*keys).agg(F.count("*").alias("__n"))
+    upto = value_sums(counts, keys, value, {"__upto": F.col("__c")})
+    placed = upto.join(size, keys) if keys else upto.crossJoin(F.broadcast(size))  # one row
+    at = lambda q: F.lit(q) * (F.col("__n") - 1)
+    holds = lambda k: F.max(F.when((F.col("__upto") - F.col("__c") <= k) & (k < F.col("__upto")), F.col(value)))
+    ends = placed.groupBy(*keys, "__n").agg(*(holds(f(at(q))).alias(f"__{e}_{name}") for name, q in made.items() for e, f in (("a", F.floor), ("b", F.ceil))))
+    return ends.select(*keys, *((F.col(f"__a_{n}") + (F.col(f"__b_{n}") - F.col(f"__a_{n}")) * (at(q) - F.floor(at(q)))).alias(n) for n, q in made.items()))
+
+
 def runs(df: DataFrame, flag: Column, keys: tuple[str, ...] = SERIES_KEYS, t: str = "t") -> DataFrame:
     """Rows where flag holds, each with run_id: the number of its maximal run of consecutive rows."""
     marked = framed(df.withColumn("__f", F.coalesce(flag, F.lit(False))), 1, 0, {"__p": lambda w: F.lag("__f").over(w)}, keys, t)
@@ -80,8 +124,18 @@ def runs(df: DataFrame, flag: Column, keys: tuple[str, ...] = SERIES_KEYS, t: st
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in spark.checkpoint.dir; a folder of our own is taken only where that is unset."""
+    """df written once as Parquet to the shared folder and read back: what follows reads it as often as it likes.
+
+    Lineage ends there, and a lost executor loses nothing. The folder is spark.checkpoint.dir; one of our own is taken
+    only where that is unset and all runs on one machine.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fleetseries-"))
-    return df.checkpoint()
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetseries-"))
+        place = spark.sparkContext.getCheckpointDir()
+    path = f"{place}/fleetseries/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import bankers, dense_index, running_sum, runs
+from fleetseries.functions.frames import bankers, dense_index, quantiles, running_sum, runs
 from fleetseries.operators.faults import normal, uniform
 from fleetseries.operators.prep import KEYS, average_rank, labels_from_segments
 
@@ -207,7 +207,7 @@ def best_median_worst(rows: DataFrame, keys: list[str], metric: str, k: int) ->
 
 def pot_threshold(scores: DataFrame, keys: list[str], level: float = 0.02, q: float = 1e-3) -> DataFrame:
     """thr: peaks over the (1 - level) quantile as a generalised Pareto tail, fitted by its moments (our own estimator), cut at risk q."""
-    top = scores.groupBy(*keys).agg(F.percentile("score", F.lit(1 - level)).alias("u"), F.count("*").alias("n"))
+    top = quantiles(scores, keys, "score", {"u": 1 - level}).join(scores.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     peak = scores.join(top, keys).where("score > u").withColumn("e", F.col("score") - F.col("u"))
     g = peak.groupBy(*keys, "u", "n").agg(F.count("*").alias("c"), F.avg("e").alias("m"), F.var_pop("e").alias("v"))
     ratio = F.col("m") * F.col("m") / F.col("v")
@@ -218,7 +218,7 @@ def pot_threshold(scores: DataFrame, keys: list[str], level: float = 0.02, q: fl
 
 def two_level_quantile(scores: DataFrame, q: float) -> DataFrame:
     """(channel, thr) from (rate, channel, freq, score): quantile over time, sum over rates, mean over frequencies."""
-    low = scores.groupBy("rate", "channel", "freq").agg(F.percentile("score", F.lit(q)).alias("x"))
+    low = quantiles(scores, ["rate", "channel", "freq"], "score", {"x": q})
     joint = low.groupBy("channel", "freq").agg(F.sum("x").alias("x"))
     return joint.groupBy("channel").agg(F.avg("x").alias("thr"))
 

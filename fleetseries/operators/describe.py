@@ -140,7 +140,7 @@ def lloyd(vectors: DataFrame, book: DataFrame, rounds: int) -> DataFrame:
     """book (code, c) after so many Lloyd steps; codes without members stay where they are. A book has K rows whatever the data."""
     for _ in range(rounds):
         moved = centroids(assign(vectors, book).select("code", "v"), "code").select("code", F.col("c").alias("__c"))
-        book = book.join(moved, "code", "left").select("code", F.coalesce("__c", "c").alias("c"))
+        book = settled(book.join(moved, "code", "left").select("code", F.coalesce("__c", "c").alias("c")))  # else the plan doubles a round
     return book
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import framed, runs
+from fleetseries.functions.frames import framed, quantiles, runs, value_sums
 from fleetseries.operators.prep import KEYS, average_rank, causal_average, centred_average
 
 # -- closed-form heads ---------------------------------------------------------------------------------
@@ -194,7 +194,7 @@ def channel_aggregates(scores: DataFrame, keys: list[str], top: int = 2, q: floa
 
 def quantile_threshold(scores: DataFrame, keys: list[str], q: float) -> DataFrame:
     """thr by key: the exact quantile with linear interpolation."""
-    return scores.groupBy(*keys).agg(F.percentile("score", F.lit(q)).alias("thr"))
+    return quantiles(scores, keys, "score", {"thr": q})
 
 
 def predict(scores: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
@@ -228,7 +228,9 @@ RATIOS = (0.1, 0.5, 1.0, 2.0, 3.0, 5.0, 10.0, 15.0, 20.0, 25.0)
 
 def ratio_threshold(scores: DataFrame, keys: list[str], ratios: tuple[float, ...] = RATIOS) -> DataFrame:
     """thr, ratio and f1: the first best of the quantiles that leave each share of the points above them."""
-    cuts = scores.groupBy(*keys).agg(F.percentile("score", F.array(*(F.lit(1 - r / 100) for r in ratios))).alias("q"), F.sum("label").alias("pos"))
+    names = [f"q{k}" for k in range(len(ratios))]
+    cut = quantiles(scores, keys, "score", {n: 1 - r / 100 for n, r in zip(names, ratios, strict=True)}).select(*keys, F.array(*names).alias("q"))
+    cuts = cut.join(scores.groupBy(*keys).agg(F.sum("label").alias("pos")), keys)
     above = lambda k: F.col("score") > F.get("q", F.lit(k))
     counted = scores.join(cuts, keys).groupBy(*keys, "pos", "q").agg(
         F.array(*(F.struct(F.count_if(above(k)).alias("n"), F.sum(F.when(above(k), F.col("label")).otherwise(0)).alias("tp")) for k in range(len(ratios)))).alias("c")
@@ -244,7 +246,7 @@ def base_rate_threshold(scores: DataFrame, keys: list[str]) -> DataFrame:
     """thr: the quantile of the scores at one minus the share of labelled points, between the two order statistics next to it."""
     size = scores.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("label").alias("rate"))
     counts = scores.groupBy(*keys, "score").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("hi", F.sum("c").over(W.partitionBy(*keys).orderBy("score"))).join(size, keys)
+    upto = value_sums(counts, keys, "score", {"hi": F.col("c")}).join(size, keys)
     place = (1 - F.col("rate")) * (F.col("n") - 1)
     holds = lambda k: F.max(F.when((F.col("hi") - F.col("c") <= k) & (k < F.col("hi")), F.col("score")))
     ends = upto.groupBy(*keys, "n", "rate").agg(holds(F.floor(place)).alias("a"), holds(F.ceil(place)).alias("b"))
@@ -300,8 +302,7 @@ def auroc(scores: DataFrame, keys: list[str]) -> DataFrame:
 def pr_curve(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Precision and recall at each distinct score, with the recall gained there."""
     steps = scores.groupBy(*keys, "score").agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
-    down = W.partitionBy(*keys).orderBy(F.desc("score"))
-    run = steps.withColumns({"tp": F.sum("pos").over(down), "seen": F.sum("n").over(down), "all": F.sum("pos").over(W.partitionBy(*keys))})
+    run = value_sums(steps, keys, "score", {"tp": F.col("pos"), "seen": F.col("n")}, falling=True).join(scores.groupBy(*keys).agg(F.sum("label").alias("all")), keys)
     return run.withColumns({"precision": F.col("tp") / F.col("seen"), "recall": F.try_divide("tp", "all"), "gain": F.try_divide("pos", "all")})
 
 
@@ -313,10 +314,14 @@ def auprc(scores: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def event_overlap(truth: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """Event precision, recall and F1: an event counts where any event of the other side overlaps it; 1 where both are empty."""
+def event_overlap(truth: DataFrame, found: DataFrame, keys: list[str], step: int = 1024) -> DataFrame:
+    """Event precision, recall and F1: an event counts where any event of the other side overlaps it; 0 where there are none.
+
+    Events meet in buckets of the time axis: those of a side are disjoint, so a bucket holds at most `step` of them.
+    """
     t, p = truth.select(*keys, F.col("start").alias("a"), F.col("stop").alias("b")), found.select(*keys, F.col("start").alias("c"), F.col("stop").alias("d"))
-    meet = t.join(p, keys).where("a <= d and c <= b")
+    dealt = lambda df, lo, hi: df.withColumn("__b", F.explode(F.sequence(F.floor(F.col(lo) / step), F.floor(F.col(hi) / step))))
+    meet = dealt(t, "a", "b").join(dealt(p, "c", "d"), [*keys, "__b"]).where("a <= d and c <= b")
     n_t, n_p = t.groupBy(*keys).agg(F.count("*").alias("n_true")), p.groupBy(*keys).agg(F.count("*").alias("n_pred"))
     hits = meet.groupBy(*keys).agg(F.count_distinct("a").alias("hit_true"), F.count_distinct("c").alias("hit_pred"))
     both = n_t.join(n_p, keys, "full").join(hits, keys, "left").fillna(0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import SERIES_KEYS, bankers, framed, runs
+from fleetseries.functions.frames import SERIES_KEYS, bankers, framed, runs, value_sums
 
 KEYS = list(SERIES_KEYS)
 SCALE_FLOOR, WINDOW_FLOOR = 1e-4, 1e-4
@@ -120,10 +120,9 @@ def capped(series: DataFrame, entities: int, steps: int) -> DataFrame:
 
 
 def scale_stats(series: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean and standard deviation (population, floored) of the training points, from additive sums."""
-    sums = series.where("split = 'train'").groupBy(*keys).agg(F.count("value").alias("n"), F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"))
-    mean = F.col("sx") / F.col("n")
-    return sums.select(*keys, "n", mean.alias("mu"), F.greatest(F.sqrt(F.greatest(F.col("sxx") / F.col("n") - mean * mean, F.lit(0.0))), F.lit(SCALE_FLOOR)).alias("sd"))
+    """Mean and standard deviation (population, floored) of the training points, from additive central moments."""
+    sums = series.where("split = 'train'").groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mu"), F.stddev_pop("value").alias("__sd"))
+    return sums.select(*keys, "n", "mu", F.greatest("__sd", F.lit(SCALE_FLOOR)).alias("sd"))
 
 
 def scale(series: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,8 +154,7 @@ def detrend(series: DataFrame, keys: list[str]) -> DataFrame:
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """df with the average rank of value by key: ties share the mean of their places. Values are counted before they are ranked."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    upto = F.sum("__n").over(W.partitionBy(*keys).orderBy(value))
-    ranks = counts.select(*keys, value, (upto - (F.col("__n") - 1) / 2).alias(name))
+    ranks = value_sums(counts, keys, value, {"__upto": F.col("__n")}).select(*keys, value, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
     return df.join(ranks, [*keys, value])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import r6, running_sum
+from fleetseries.functions.frames import quantiles, r6, running_sum, settled
 from fleetseries.operators import detect, models, prep, reports
 from fleetseries.operators.prep import KEYS
 from fleetseries.sources import tables
@@ -74,14 +74,14 @@ def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship path: scaling, centred moving-average head, rolling assembly, impulse term."""
-    return detect.impulse(detect.assemble(detect.ma_centred(scaled(spark, sf_dir), HEAD_K), WIDTH, STRIDE), WIDTH)
+    """The flagship path: scaling, centred moving-average head, rolling assembly, impulse term. Written once, as what follows reads it again and again."""
+    return settled(detect.impulse(detect.assemble(detect.ma_centred(scaled(spark, sf_dir), HEAD_K), WIDTH, STRIDE), WIDTH))
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test points with their score, and whether it passes the training scores' quantile."""
     s = scored(spark, sf_dir)
-    return detect.predict(s.where("split = 'test'"), detect.quantile_threshold(s.where("split = 'train'"), ENTITY, QUANTILE), ENTITY)
+    return settled(detect.predict(s.where("split = 'test'"), detect.quantile_threshold(s.where("split = 'train'"), ENTITY, QUANTILE), ENTITY))
 
 
 # -- sources, selection, labels ------------------------------------------------------------------------
@@ -405,8 +405,8 @@ def t1(spark, d):
 
 @query("t8_cluster_threshold", "SELECT cluster, round(quantile_cont(score, 0.99), 6) AS q99, round(quantile_cont(score, 0.995), 6) AS q995 FROM scored WHERE split = 'train' GROUP BY cluster", SCORED_SQL)
 def t8(spark, d):
-    s = scored(spark, d).where("split = 'train'").groupBy("cluster")
-    return rounded(s.agg(F.percentile("score", F.lit(0.99)).alias("q99"), F.percentile("score", F.lit(0.995)).alias("q995")), "q99", "q995")
+    s = scored(spark, d).where("split = 'train'")
+    return rounded(quantiles(s, ["cluster"], "score", {"q99": 0.99, "q995": 0.995}), "q99", "q995")
 
 
 @query(

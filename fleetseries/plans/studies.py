@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import r6
+from fleetseries.functions.frames import quantiles, r6, settled
 from fleetseries.operators import catalog, describe, detect, faults, models, prep, priors
 from fleetseries.operators.prep import KEYS
 from fleetseries.plans.fleet import FUSION_SQL, PAIR_RECORDS, PRIOR_SQL, channel_points, differences, head_scores
@@ -584,7 +584,7 @@ def t6(spark, d):
 @query("k7_window_flags", "c AS (SELECT channel, quantile_cont(value, 0.5) AS thr FROM multi GROUP BY channel), f AS (SELECT entity, channel, t, value AS score, row_number() OVER (PARTITION BY entity, channel, t // 16 ORDER BY value DESC, t) AS r FROM multi JOIN c USING (channel) WHERE value > thr) SELECT entity, channel, t FROM f WHERE r <= 8", MULTI_SQL)
 def k7(spark, d):
     s = multi(spark, d).withColumnRenamed("value", "score")
-    thr = s.groupBy("channel").agg(F.percentile("score", F.lit(0.5)).alias("thr"))
+    thr = quantiles(s, ["channel"], "score", {"thr": 0.5})
     return catalog.window_flags(s.join(thr, "channel"), 16, 0.5).select("entity", "channel", "t")
 
 
@@ -710,6 +710,6 @@ c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PAR
 SELECT entity, variant, round(sum((n - pos) * (tp - pos / 2)) / (any_value(al) * (any_value(tot) - any_value(al))), 6) AS auroc, round(sum(pos / al * tp / seen), 6) AS auprc, round(max(2 * tp / (seen + al)), 6) AS best_f1 FROM c GROUP BY ALL""", PRED_SQL)
 def j12(spark, d):
     p = predicted(spark, d).select(*KEYS, "t", "label", "score")
-    both = p.withColumn("variant", F.lit("raw")).unionByName(detect.point_adjust(p, "score").select(*p.columns).withColumn("variant", F.lit("adjusted")))
+    both = settled(p.withColumn("variant", F.lit("raw")).unionByName(detect.point_adjust(p, "score").select(*p.columns).withColumn("variant", F.lit("adjusted"))))
     keys = ["entity", "variant"]
     return rounded(detect.auroc(both, keys).join(detect.auprc(both, keys).drop("best_thr"), keys), "auroc", "auprc", "best_f1")
