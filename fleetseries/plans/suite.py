@@ -20,7 +20,7 @@ sh AS (SELECT o.entity, v, o.t, any_value(o.score) AS score, least(1, sum(sqrt(1
   WHERE o.label = 0 AND v >= 2 AND greatest(a - t, t - b) BETWEEN 1 AND v // 2 GROUP BY o.entity, v, o.t),
 hs AS (SELECT cu.entity, v, k, sum(w) AS h FROM sh JOIN cu ON cu.entity = sh.entity AND sh.score >= thr GROUP BY ALL),
 br AS (SELECT entity, v, a, b, CASE WHEN a - lag(b) OVER w > 2 * (v // 2) OR lag(b) OVER w IS NULL THEN 1 ELSE 0 END AS head FROM segs CROSS JOIN vs WINDOW w AS (PARTITION BY entity, v ORDER BY a)),
-gr AS (SELECT *, sum(head) OVER (PARTITION BY entity, v ORDER BY a) AS g FROM br), rg AS (SELECT entity, v, g, min(a) - v // 2 AS a, max(b) + v // 2 AS b FROM gr GROUP BY ALL),
+gr AS (SELECT *, sum(head) OVER (PARTITION BY entity, v ORDER BY a) AS g FROM br), rg AS (SELECT entity, v, g, min(a) - v // 2 AS a, max(b) + v // 2 AS b FROM gr GROUP BY entity, v, g),
 rt AS (SELECT r.entity, v, g, max(score) AS top FROM rg AS r JOIN ok AS o ON o.entity = r.entity AND o.t BETWEEN r.a AND r.b GROUP BY ALL),
 ex AS (SELECT cu.entity, v, k, avg(CASE WHEN top >= thr THEN 1.0 ELSE 0.0 END) AS e FROM rt JOIN cu USING (entity) GROUP BY ALL),
 pl AS (SELECT cu.entity, k, any_value(pos) AS pos, any_value(n) AS n, sum(label) AS seg, count(*) AS np FROM ok JOIN cu ON cu.entity = ok.entity AND score >= thr GROUP BY ALL),
