@@ -14,11 +14,13 @@ SPACE = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetseries-"))
         place = spark.sparkContext.getCheckpointDir()
     return place
@@ -52,7 +54,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     """(doc_id, text, <label>) of at most `most` labelled documents of docs; never those whose crc32 mod 3 is 1.
 
     Labels that are null, or that contradict each other for one doc_id, are left out; so are null texts' labels
-    (a null text is the empty text). The sampled ids number `most` at most, so sending them to every task is safe.
+    (a null text is the empty text). Of rows that share a doc_id the least text stands for it, so the sample has a row
+    an id. The sampled ids number `most` at most, so sending them to every task is safe.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -66,7 +69,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label)
 
 
 def held_out(doc_id: Column) -> Column:

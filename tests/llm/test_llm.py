@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetseries.llm import bpe, chat, media_audio, packing, quality_classifier, quality_rules, queries, secret_scan, simhash, toxicity, url_filter
+from fleetseries.llm import bpe, chat, common, media_audio, packing, quality_classifier, quality_rules, queries, secret_scan, simhash, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, count long"
@@ -285,3 +285,11 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert 0 < kept.select("doc_id").distinct().count() <= docs.count()
     assert queries.QUERIES.keys() >= {f.__name__ for f in (queries.op1_bpe, queries.op10_chat_rotation)}
+
+
+def test_a_sampled_id_is_one_row_however_often_it_repeats(spark):
+    docs = spark.createDataFrame([(2, "b"), (2, "a"), (2, "a"), (None, "x"), (3, None), (4, "held")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, y in ((2, 1), (2, 1), (3, 0), (4, 1), (5, 0))], "doc_id long, quality int")
+    out = {k for k in (2, 3, 4) if zlib.crc32(str(k).encode()) % 3 == 1}
+    got = sorted(tuple(r) for r in common.labelled_sample(docs, labels, "quality", 10).collect())
+    assert got == [r for r in [(2, "a", 1), (3, "", 0), (4, "held", 1)] if r[0] not in out]
