@@ -25,6 +25,11 @@ def r6(value: Column | str) -> Column:
     return F.round(value, 6) + F.lit(0.0)
 
 
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson's correlation, an aggregate; null where either side is constant (F.corr divides by zero there)."""
+    return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
+
+
 def bankers(value: Column) -> Column:
     """Rounded half to even, as a long."""
     return F.bround(value, 0).cast("long")

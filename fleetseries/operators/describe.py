@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import framed, settled
+from fleetseries.functions.frames import correlation, framed, settled
 from fleetseries.operators.models import assign, square_distance
 
 
@@ -60,7 +60,7 @@ def overlaps(aligned: DataFrame, least: int) -> DataFrame:
     both, either = F.sum(F.col("la") * F.col("lb")), F.sum(F.greatest("la", "lb"))
     flat = (F.stddev_pop("va") <= 1e-9) | (F.stddev_pop("vb") <= 1e-9)
     met = a.join(b, "ts").where("ea < eb").groupBy("ea", "eb").agg(
-        F.count("*").alias("n"), F.when(flat, 0.0).otherwise(F.abs(F.corr("va", "vb"))).alias("r"), F.coalesce(F.try_divide(both, either), F.lit(0.0)).alias("jaccard")
+        F.count("*").alias("n"), F.when(flat, 0.0).otherwise(F.abs(correlation("va", "vb"))).alias("r"), F.coalesce(F.try_divide(both, either), F.lit(0.0)).alias("jaccard")
     )
     return met.where(F.col("n") >= least)
 

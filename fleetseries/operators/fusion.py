@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetseries.functions.frames import correlation
+
 from fleetseries.operators.detect import auprc
 from fleetseries.operators.prep import average_rank
 
@@ -39,6 +41,6 @@ def gains(scores: DataFrame) -> DataFrame:
 
 def correlations(wide: DataFrame, heads: list[str]) -> DataFrame:
     """By entity: mean and least correlation between two scorers."""
-    pairs = [F.corr(a, b) for k, a in enumerate(heads) for b in heads[k + 1 :]]
+    pairs = [correlation(a, b) for k, a in enumerate(heads) for b in heads[k + 1 :]]
     found = wide.groupBy("entity").agg(F.array(*pairs).alias("c"))
     return found.select("entity", (F.aggregate("c", F.lit(0.0), lambda a, x: a + x) / F.size("c")).alias("corr_mean"), F.array_min("c").alias("corr_min"))

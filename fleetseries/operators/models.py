@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetseries.functions.frames import correlation
+
 # -- codebooks -----------------------------------------------------------------------------------------
 
 
@@ -62,9 +64,9 @@ def usage(assigned: DataFrame, k: int) -> DataFrame:
 
 
 def participation_ratio(vectors: DataFrame) -> DataFrame:
-    """Squared trace of the covariance over the trace of its square, from sums of products."""
+    """Squared trace of the covariance over the trace of its square, from centred sums of products."""
     pair = vectors.select(F.posexplode("v").alias("i", "x"), "v").select("i", "x", F.posexplode("v").alias("j", "y"))
-    cov = pair.groupBy("i", "j").agg((F.avg(F.col("x") * F.col("y")) - F.avg("x") * F.avg("y")).alias("c"))
+    cov = pair.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("c"))
     return cov.agg((F.pow(F.sum(F.when(F.col("i") == F.col("j"), F.col("c"))), 2) / F.sum(F.col("c") * F.col("c"))).alias("participation"))
 
 
@@ -151,12 +153,12 @@ def robust_rates(rates: DataFrame, keys: list[str], value: str, cut: int = 1) ->
 
 
 def approximation(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Errors and agreement of y against x: constant series agree fully if equal, else not at all."""
+    """Errors and agreement of y against x: constant series agree fully if equal, else not at all. Shares of a zero are null."""
     d = F.col("x") - F.col("y")
     flat_x, flat_y = F.stddev_pop("x") < 1e-12, F.stddev_pop("y") < 1e-12
-    cosine = F.sum(F.col("x") * F.col("y")) / F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y")))
+    cosine = F.try_divide(F.sum(F.col("x") * F.col("y")), F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))))
     return pairs.groupBy(*keys).agg(
         F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"), cosine.alias("cosine"),
-        F.when(flat_x & flat_y, F.when(F.max(F.abs(d)) < 1e-12, 1.0).otherwise(0.0)).when(flat_x | flat_y, 0.0).otherwise(F.corr("x", "y")).alias("pearson"),
-        (F.avg(d * d) / F.var_pop("x")).alias("nmse"), (F.var_pop("y") / F.var_pop("x")).alias("variance_ratio"),
+        F.when(flat_x & flat_y, F.when(F.max(F.abs(d)) < 1e-12, 1.0).otherwise(0.0)).when(flat_x | flat_y, 0.0).otherwise(correlation("x", "y")).alias("pearson"),
+        F.try_divide(F.avg(d * d), F.var_pop("x")).alias("nmse"), F.try_divide(F.var_pop("y"), F.var_pop("x")).alias("variance_ratio"),
     )

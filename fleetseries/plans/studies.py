@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import quantiles, r6, settled
+from fleetseries.functions.frames import correlation, quantiles, r6, settled
 from fleetseries.operators import catalog, describe, detect, faults, models, prep, priors
 from fleetseries.operators.prep import KEYS
 from fleetseries.plans.fleet import FUSION_SQL, PAIR_RECORDS, PRIOR_SQL, channel_points, differences, head_scores
@@ -679,7 +679,7 @@ SELECT entity, label, count(*) AS n, round(avg(abs(a - b)), 6) AS mae, round(max
 def u5(spark, d):
     s = prep.causal_average(prep.centred_average(scaled(spark, d), 10, "a", "x"), 10, "b", "x")
     gap = F.abs(F.col("a") - F.col("b"))
-    return rounded(s.groupBy("entity", "label").agg(F.count("*").alias("n"), F.avg(gap).alias("mae"), F.max(gap).alias("widest"), F.corr("a", "b").alias("r")), "mae", "widest", "r")
+    return rounded(s.groupBy("entity", "label").agg(F.count("*").alias("n"), F.avg(gap).alias("mae"), F.max(gap).alias("widest"), correlation("a", "b").alias("r")), "mae", "widest", "r")
 
 
 # -- affiliation and bundles ---------------------------------------------------------------------------

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import settled
-from fleetseries.operators import detect, volume
+from fleetseries.functions.frames import framed, settled
+from fleetseries.operators import detect, fusion, merging, models, volume
 from fleetseries.operators.prep import KEYS
-from fleetseries.plans.fleet import RATIO_SQL
-from fleetseries.plans.queries import PRED_SQL, predicted, query, rounded, scored
+from fleetseries.plans.fleet import FUSION_SQL, HEADS, RATIO_SQL, head_scores
+from fleetseries.plans.queries import ASSIGN_SQL, PRED_SQL, RECORD_SQL, SCALED_SQL, predicted, query, read, records, rounded, scaled, scored
+from fleetseries.sources import tables
 
 BUFFER, CUTS = 8, 50
 
@@ -78,3 +79,85 @@ def j13(spark, d):
     thr, both = variants(spark, d)
     out = volume.report(settled(both), thr, ["entity"])
     return out.withColumn("value", F.round("value", 5) + 0.0)
+
+
+# -- merged models -------------------------------------------------------------------------------------
+
+LAG_SQL = """, lg AS (SELECT cluster, entity, x, lag(x) OVER (PARTITION BY entity ORDER BY t) AS l FROM scaled WHERE split = 'train'),
+fe AS (SELECT cluster, entity, count(*) AS n, sum(l * l) AS g, sum(l * x) AS b, sum(x * x) AS q FROM lg WHERE l IS NOT NULL GROUP BY ALL),
+fc AS (SELECT cluster, sum(n) AS n, sum(g) AS g, sum(b) AS b, sum(q) AS q FROM fe GROUP BY cluster),
+av AS (SELECT cluster, sum(n * b / (g + 1e-4 * n)) / sum(n) AS w FROM fe GROUP BY cluster)"""
+
+
+def client_fits(spark, d, lags=1):
+    """Sums and models of each entity, for one lag: what SQL can solve too. Tests compare eight lags with numpy."""
+    stats = settled(detect.ar_stats(scaled(spark, d).where("split = 'train'"), ["cluster", "entity"], lags))
+    fits = detect.ar_solve(stats, ["cluster", "entity"]).join(stats.select("cluster", "entity", "n"), ["cluster", "entity"])
+    return stats, merging.vector_mean(fits, ["cluster"], "w", "n")
+
+
+@query("h10_parameter_average", "SELECT cluster, n::BIGINT AS n, round(w, 6) AS w FROM fc JOIN av USING (cluster)", SCALED_SQL + LAG_SQL)
+def h10(spark, d):
+    return client_fits(spark, d)[1].select("cluster", "n", (F.round(F.get("w", F.lit(0)), 6) + 0.0).alias("w"))
+
+
+@query("h13_excess_objective", """e AS (SELECT cluster, q - b / (g + 1e-4 * n) * b AS optimum, pow(w - b / (g + 1e-4 * n), 2) * (g + 1e-4 * n) AS excess FROM fc JOIN av USING (cluster))
+SELECT cluster, round(optimum, 5) AS optimum, round(excess, 5) AS excess, round(excess / optimum, 7) AS relative FROM e""", SCALED_SQL + LAG_SQL)
+def h13(spark, d):
+    stats, mean = client_fits(spark, d)
+    merged = settled(merging.sum_stats(stats, ["cluster"]))
+    out = merging.excess_objective(merged, detect.ar_solve(merged, ["cluster"]), mean, ["cluster"])
+    return out.select("cluster", *((F.round(c, k) + 0.0).alias(c) for c, k in (("optimum", 5), ("excess", 5), ("relative", 7))))
+
+
+@query("h14_exactness_witness")
+def h14(spark, d):
+    s = settled(scaled(spark, d).where("split = 'train'"))
+    merged = merging.sum_stats(detect.ar_stats(s, ["cluster", "entity"], 8), ["cluster"])
+    pooled = merging.design_stats(s, ["cluster"], 8)
+    return merging.witness(detect.ar_solve(merged, ["cluster"]), detect.ar_solve(pooled, ["cluster"]), ["cluster"])
+
+
+# -- clients side by side ------------------------------------------------------------------------------
+
+
+@query("u5_client_outputs", """o AS (SELECT s.cluster, f.entity AS client, s.entity, s.t, s.label, s.x - f.b / (f.g + 1e-4 * f.n) * lag(s.x) OVER (PARTITION BY f.entity, s.entity ORDER BY s.t) AS y FROM scaled AS s JOIN fe AS f ON f.cluster = s.cluster WHERE s.split = 'test')
+SELECT o.cluster, o.label, o.client AS a, p.client AS b, count(*) AS n, round(avg(abs(o.y - p.y)), 6) AS mae, round(max(abs(o.y - p.y)), 6) AS widest, round(corr(o.y, p.y), 6) AS r
+FROM o JOIN o AS p ON p.entity = o.entity AND p.t = o.t AND o.client < p.client WHERE o.y IS NOT NULL AND p.y IS NOT NULL GROUP BY ALL""", SCALED_SQL + LAG_SQL)
+def u5_clients(spark, d):
+    """One-step errors of each client's model on the same test points of its cluster: pairs of clients (L20: `widest`)."""
+    s = scaled(spark, d)
+    fits = detect.ar_solve(detect.ar_stats(s.where("split = 'train'"), ["cluster", "entity"], 1), ["cluster", "entity"]).select("cluster", F.col("entity").alias("client"), "w")
+    test = framed(s.where("split = 'test'"), 1, 0, {"l": lambda w: F.lag("x").over(w)}).where("l is not null")
+    out = test.join(fits, "cluster").select("cluster", "client", "entity", "t", "label", (F.col("x") - F.get("w", F.lit(0)) * F.col("l")).alias("y"))
+    return rounded(merging.output_gaps(out, ["entity", "t"], ["cluster", "label"]), "mae", "widest", "r")
+
+
+@query("r23_hit_table", """b AS (SELECT head AS arm, entity, t AS t_top FROM (SELECT *, row_number() OVER (PARTITION BY entity, head ORDER BY score DESC, t) AS r FROM lng) WHERE r = 1),
+h AS (SELECT b.arm, b.entity, CASE WHEN min(abs(p.t - b.t_top)) <= 5 THEN 1 WHEN count(p.t) > 0 THEN 0 END AS hit FROM b LEFT JOIN (SELECT DISTINCT entity, t FROM lng WHERE label = 1) AS p ON p.entity = b.entity GROUP BY ALL)
+SELECT arm, entity, round(avg(hit), 6) AS rate, count(*) AS n FROM h WHERE hit IS NOT NULL GROUP BY GROUPING SETS ((arm, entity), (arm))""", FUSION_SQL)
+def r23(spark, d):
+    heads = settled(fusion.long_scores(head_scores(spark, d), HEADS))
+    hits = detect.score_extremes(heads.withColumnRenamed("head", "arm"), ["arm", "entity"], 5)
+    return rounded(merging.hit_table(hits.select("arm", "entity", F.col("top1").alias("hit")), ["entity"]), "rate")
+
+
+@query("r24_relabelled_records", RECORD_SQL + ", x AS (SELECT 1) SELECT CASE WHEN arm = 'causal' THEN 'ma_causal' ELSE arm END AS arm, entity, seed, round(value, 6) AS value FROM rec")
+def r24(spark, d):
+    r = records(spark, d)
+    both = r.where("arm = 'centred'").unionByName(merging.relabelled(r.where("arm = 'causal'"), {"causal": "ma_causal"}))
+    return rounded(both.select("arm", "entity", "seed", "value"), "value")
+
+
+@query("l14_participation", """ex AS (SELECT vec_id, i, v[i] AS x FROM vec CROSS JOIN (SELECT unnest(range(1, 65)) AS i)),
+c AS (SELECT a.i, b.i AS j, covar_pop(a.x, b.x) AS c FROM ex AS a JOIN ex AS b USING (vec_id) GROUP BY ALL)
+SELECT round(pow(sum(CASE WHEN i = j THEN c ELSE 0 END), 2) / sum(c * c), 6) AS participation FROM c""", ASSIGN_SQL)
+def l14(spark, d):
+    return rounded(models.participation_ratio(tables.vectors_from_embeddings(read(spark, d, "embeddings"))), "participation")
+
+
+@query("l16_whitening")
+def l16(spark, d):
+    """Mean, whitening matrix and condition number of each client's vectors."""
+    v = tables.vectors_from_embeddings(read(spark, d, "embeddings"))
+    return merging.whitening(detect.gram(v, ["client"]), ["client"])
