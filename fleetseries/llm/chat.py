@@ -4,68 +4,84 @@ For every participant of a conversation the dialogue is rendered once with that
 others as named users; system turns stay system turns. The mask lists the stretches (code points, end exclusive)
 that the assistant says, which are those to train on.
 
-A dialogue comes in parts of PART_TURNS turn numbers, which join by part number; turns below PART_TURNS are part 0.
-A long conversation need not fit into one row where its turns are numbered through. Not bounded is a part in which
-many rows share turn numbers, or have none, as all rows without a conv_id may: it is one array in one task, and one
-text a speaker, so beyond 2 GB the job fails.
+The rows of a conversation, ordered by turn, role and text, come in parts of PART_ROWS rows, which join by part
+number; a conversation of up to PART_ROWS rows is part 0 alone. A part is bounded by rows, whatever turn numbers they
+have, so a conversation of any length, and all rows that share a turn or have no conv_id, spread over many tasks:
+rows are sorted by range over all tasks, and the number of a row is its place in its task plus the conversation's
+rows in earlier tasks.
 
 Cases: a null role is the speaker "unknown"; a null text is an empty turn; a null turn counts as turn 0; turns of one
 number, and repeated rows, follow by role, then text; a null conv_id is a conversation of its own; a conversation
-with system turns alone has no participant and no rows; other columns are not looked at.
+with system turns alone has no participant and no rows; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PART_TURNS = 1024
+from fleetseries.llm.common import cut
+
+PART_ROWS = 1024
 SYSTEM = "system"
 START, END = "<|im_start|>", "<|im_end|>"
+USER, SELF = "user name=", "assistant"
 
 
-def rotate(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_id, speaker, part, n_turns, text, mask): each dialogue from each participant's side."""
-    turn = F.coalesce("turn", F.lit(0))
-    said = conversations.select(
-        "conv_id",
-        F.floor(turn / part_turns).cast("long").alias("part"),
-        F.struct(turn.alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("said"),
+def numbered(said: DataFrame, part_rows: int) -> DataFrame:
+    """said with part and n, the place in the part, of each row in the order of its conversation.
+
+    The last sort key, a number of the row, lets equal rows lie in several tasks. `earlier` is ordered over one row a
+    task that holds rows of a conversation.
+    """
+    order = ["conv_id", "turn", "role", "text", "__row"]
+    rows = cut(said.withColumn("__row", F.monotonically_increasing_id()), "chat-rows")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = cut(dealt.withColumn("__task", F.shiftright("__at", 33)).drop("__row"), "chat-sorted")  # the id's upper bits are the task
+    counts = dealt.groupBy("conv_id", "__task").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = W.partitionBy("conv_id").orderBy("__task").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("conv_id").alias("__c"), F.col("__task").alias("__k"), (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__offset")
     )
-    speakers = said.where(F.col("said.role") != SYSTEM).select("conv_id", F.col("said.role").alias("speaker")).distinct()
-    parts = said.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("said")).alias("turns"))
-    both = parts.join(speakers.withColumnRenamed("conv_id", "__c"), F.col("conv_id").eqNullSafe(F.col("__c"))).drop("__c")
+    placed = dealt.join(offsets, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("__task") == F.col("__k"))).withColumn("__at", F.col("__at") + F.col("__offset"))
+    part = F.floor(F.col("__at") / part_rows).cast("long")
+    return placed.select("conv_id", "turn", "role", "text", part.alias("part"), (F.col("__at") - part * part_rows).alias("n"))
 
-    def head(x):
-        name = F.when(x["role"] == SYSTEM, SYSTEM).when(x["role"] == F.col("speaker"), "assistant").otherwise(F.concat(F.lit("user name="), x["role"]))
-        return F.concat(F.lit(START), name, F.lit("\n"))
 
-    seen = both.select(
-        "conv_id", "speaker", "part",
-        F.transform(
-            "turns", lambda x: F.struct(head(x).alias("head"), F.concat(x["text"], F.lit(END)).alias("body"), (x["role"] == F.col("speaker")).alias("own"))
-        ).alias("turns"),
-    )
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("mask"))
+def rotate(conversations: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(conv_id, speaker, part, n_turns, text, mask): each dialogue from each participant's side."""
+    said = conversations.select(
+        "conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    lines = numbered(said, part_rows)
+    head = F.when(F.col("role") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit(USER), "role"))
+    others = F.concat(F.lit(START), head, F.lit("\n"), "text", F.lit(END + "\n"))
+    before = W.partitionBy("conv_id", "part").orderBy("n").rowsBetween(W.unboundedPreceding, -1)  # PART_ROWS rows at most
+    lines = lines.withColumn("line", others).withColumn("at", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)))
+    parts = lines.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("n", "at", "role", "text", "line"))).alias("turns"))
+    speakers = said.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("__c"), F.col("role").alias("speaker")).distinct()
+    both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("__c")))
+    own = F.filter("turns", lambda x: x["role"] == F.col("speaker"))
+    longer = F.length(F.concat(F.lit(USER), "speaker")) - len(SELF)  # than the assistant's head is another user's
 
-    def step(state, x):
-        start = state["at"] + F.length(x["head"])
-        stop = start + F.length(x["body"])
-        span = F.when(x["own"], F.array(F.concat_ws(":", start, stop))).otherwise(F.array().cast("array<string>"))
-        return F.struct((stop + 1).alias("at"), F.concat(state["mask"], span).alias("mask"))  # a line break follows each turn
+    def span(x, k):
+        start = x["at"] - k * longer + len(START + SELF) + 1
+        return F.concat_ws(":", start, start + F.length(x["text"]) + len(END))
 
-    return seen.select(
+    mine = lambda x: F.concat(F.lit(f"{START}{SELF}\n"), x["text"], F.lit(END + "\n"))
+    return both.select(
         "conv_id", "speaker", "part",
         F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit("\n"))), "").alias("text"),
-        F.array_join(F.aggregate("turns", empty, step)["mask"], ",").alias("mask"),
+        F.array_join(F.transform("turns", lambda x: F.when(x["role"] == F.col("speaker"), mine(x)).otherwise(x["line"])), "").alias("text"),
+        F.array_join(F.transform(own, span), ",").alias("mask"),
     )
 
 
 ORACLE = f"""
 WITH t AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         CAST(floor(coalesce(turn, 0) / {PART_TURNS}.0) AS BIGINT) AS part FROM conversations),
+         (row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(turn, 0), coalesce(role, 'unknown'), coalesce(text, '')) - 1) // {PART_ROWS} AS part FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> '{SYSTEM}'),
 r AS (
   SELECT t.conv_id, p.speaker, t.part, t.turn, t.role, t.text, row_number() OVER w AS k,

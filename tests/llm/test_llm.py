@@ -257,7 +257,7 @@ def test_url_filter(spark):
 def test_chat_from_each_side(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "twice"), (2, None, None, "x"), (3, 0, "system", "alone"), (4, 5000, "ann", "late")]
     got = {(r.conv_id, r.speaker, r.part): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert sorted(got) == [(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (4, "ann", 4)]
+    assert sorted(got) == [(1, "ann", 0), (1, "bob", 0), (2, "unknown", 0), (4, "ann", 0)]
     for (_, speaker, _), r in got.items():
         own = [r.text[int(a) : int(b)] for a, b in (s.split(":") for s in r.mask.split(",") if s)]
         assert own == re.findall(r"(?s)<\|im_start\|>assistant\n(.*?<\|im_end\|>)", r.text)
@@ -265,6 +265,28 @@ def test_chat_from_each_side(spark):
     assert got[1, "bob", 0].text.startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n")
 
 
+def test_chat_parts_are_bounded_by_rows_and_equal_brute_force(spark):
+    rng = random.Random(11)
+    some = lambda k: (k, rng.choice([None, 0, 1, 7]), rng.choice([None, "ann", "bob", "system"]), rng.choice([None, "", "hi", "\u4e2d\U0001f600 x", "y" * 50]), 1)
+    rows = [some(None) for _ in range(130)] + [some(5) for _ in range(45)] + [(6, None, "ann", "same", 1)] * 33
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, part int")
+    want = []
+    for conv in (None, 5, 6):
+        said = sorted((t or 0, r or "unknown", x or "") for c, t, r, x, _ in rows if c == conv)
+        for speaker in {r for _, r, _ in said} - {"system"}:
+            for part in range(0, len(said), 10):
+                text, mask = "", []
+                for _, role, x in said[part : part + 10]:
+                    text += f"<|im_start|>{'assistant' if role == speaker else role if role == 'system' else 'user name=' + role}\n"
+                    if role == speaker:
+                        mask.append(f"{len(text)}:{len(text + x) + 10}")
+                    text += x + "<|im_end|>\n"
+                want.append((conv, speaker, part // 10, len(said[part : part + 10]), text, ",".join(mask)))
+    got = chat.rotate(table, part_rows=10)
+    assert rows_of(got, "conv_id", "speaker", "part", "n_turns", "text", "mask") == sorted(want, key=str)
+    assert chat.rotate(table.limit(0)).count() == 0
+
+
 def test_classifiers_on_held_out_labels_and_edges(spark, docs, nothing):
     d, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     q = quality_classifier.judge(d, labels).join(labels, "doc_id").where("held_out")
