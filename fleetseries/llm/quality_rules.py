@@ -11,8 +11,9 @@ Every step is one aggregate over all rows: equal vectors are counted once with t
 histograms of fixed steps, and the nearest rows are taken by whole histogram bins of the distance's logarithm. A
 group has at most a few thousand bins however many rows it has, and no key's rows have to meet in one task.
 
-Groups with fewer than LEAST rows are judged with the other small groups of their language, else with all small ones;
-where even these are fewer, the base rules alone decide.
+Estimates are made for each language and source, for each language, and for all rows. A language's sums gain those of
+all rows at the weight of PRIOR rows, and a language and source's gain those of its language likewise. So each row is
+judged by its own group, which counts the more the more rows it has; there is no size at which the rule changes.
 
 Cases: a null text has no words and fails the base; a null language or source is a group of its own; repeated rows
 each come back; an empty table gives an empty result.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from fleetseries.llm.common import SPACE, cut, let
 
 WINDOW = 8
-HALF, LEAST, STARTS, STEPS_ALL, STEPS_BEST = 0.75, 50, 3, 2, 3
+HALF, PRIOR, STEPS_ALL, STEPS_BEST = 0.75, 100, 2, 3
 FLOORS = (0.5, 0.12, 0.12, 0.06, 0.12)
 DIMS = len(FLOORS)
 #: Bins of a histogram of values, and of logarithms of distances, in one unit.
@@ -135,18 +136,9 @@ MU = [f"mu{k}" for k in range(DIMS)]
 LOW = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
-def groups(named: DataFrame) -> DataFrame:
-    """(ls, g): the group, a string, that judges the rows of each ls; null where there are too few rows."""
-    counts = named.where(~failed()).groupBy("ls", "l").agg(F.count("*").alias("n"))
-    small = F.col("n") < LEAST
-    own = counts.withColumn("m", F.sum(F.when(small, F.col("n")).otherwise(0)).over(W.partitionBy("l")))
-    rest = own.where(small & (F.col("m") < LEAST)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("r"))  # one number
-    group = (
-        F.when(~small, F.col("ls"))
-        .when(F.col("m") >= LEAST, F.col("l"))
-        .when(F.col("r") >= LEAST, F.lit("*"))
-    )
-    return cut(own.crossJoin(F.broadcast(rest)).select("ls", group.alias("g")), "quality-groups")
+SUMS = ["n", *(f"t{k}" for k in range(DIMS)), *(f"p{i}{j}" for i, j in LOW)]
+#: A group's name begins with its level: language and source, language, all.
+LEVELS = ("s", "l", "*")
 
 
 def quantiles(cells: DataFrame) -> DataFrame:
@@ -175,15 +167,9 @@ def distance() -> Column:
     return sum((v * v for v in z[1:]), z[0] * z[0])
 
 
-def refit(measured: DataFrame) -> DataFrame:
-    """Centre, Cholesky factor and log determinant of the nearest HALF of each group and start; measured has g, start, n, x and d2."""
-    sums = [F.sum("n").alias("n")] + [F.sum(F.col("n") * F.col(x)).alias(f"t{k}") for k, x in enumerate(X)]
-    sums += [F.sum(F.col("n") * F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i, j in LOW]
-    bins = measured.groupBy("g", "start", F.floor(F.log(F.col("d2") + 1e-9) * DISTANCE_BINS).alias("b")).agg(*sums)
-    whole = W.partitionBy("g", "start")
-    near = bins.withColumn("c", F.sum("n").over(whole.orderBy("b")) - F.col("n")).withColumn("t", F.sum("n").over(whole))
-    near = near.where(F.col("c") < F.ceil(HALF * F.col("t")))  # bins before the one that fills HALF, and that one
-    fit = near.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in ["n", *(f"t{k}" for k in range(DIMS)), *(f"p{i}{j}" for i, j in LOW)]))
+def shape(sums: DataFrame) -> DataFrame:
+    """sums with centre, Cholesky factor and log determinant of the rows that they count."""
+    fit = sums
     for k in range(DIMS):
         fit = fit.withColumn(MU[k], F.col(f"t{k}") / F.col("n"))
     for i, j in LOW:
@@ -195,11 +181,22 @@ def refit(measured: DataFrame) -> DataFrame:
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         fit = fit.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-8))) if i == j else rest / F.col(f"l{j}{j}"))
     log_det = sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00"))
-    return fit.withColumn("log_det", 2 * log_det).select("g", "start", *MU, *(f"l{i}{j}" for i, j in LOW), "log_det")
+    return fit.withColumn("log_det", 2 * log_det).drop(*(f"a{i}{j}" for i, j in LOW))
+
+
+def refit(measured: DataFrame) -> DataFrame:
+    """The sums and shape of the nearest HALF of each group and start; measured has g, start, n, x and d2."""
+    sums = [F.sum("n").alias("n")] + [F.sum(F.col("n") * F.col(x)).alias(f"t{k}") for k, x in enumerate(X)]
+    sums += [F.sum(F.col("n") * F.col(X[i]) * F.col(X[j])).alias(f"p{i}{j}") for i, j in LOW]
+    bins = measured.groupBy("g", "start", F.floor(F.log(F.col("d2") + 1e-9) * DISTANCE_BINS).alias("b")).agg(*sums)
+    whole = W.partitionBy("g", "start")
+    near = bins.withColumn("c", F.sum("n").over(whole.orderBy("b")) - F.col("n")).withColumn("t", F.sum("n").over(whole))
+    near = near.where(F.col("c") < F.ceil(HALF * F.col("t")))  # bins before the one that fills HALF, and that one
+    return shape(near.groupBy("g", "start").agg(*(F.sum(c).alias(c) for c in SUMS)))
 
 
 def estimates(cells: DataFrame) -> DataFrame:
-    """The MCD estimate of each group of cells(g, x, n)."""
+    """The MCD estimate of each group of cells(g, x, n), with the sums of the rows that it rests on."""
     begun = cells.join(cut(quantiles(cells), "quality-quantiles"), "g")
     z = [F.abs(F.col(x) - F.col(m)) / F.col(f"s{k}") for k, (x, m) in enumerate(zip(X, MU, strict=True))]
     square = sum((v * v for v in z[1:]), z[0] * z[0])
@@ -209,27 +206,42 @@ def estimates(cells: DataFrame) -> DataFrame:
         if step == STEPS_ALL:
             best = F.row_number().over(W.partitionBy("g").orderBy("log_det", "start"))  # a handful of starts a group
             fit = cut(fit.withColumn("k", best).where("k = 1").drop("k"), "mcd-best")
-        fit = cut(refit(cells.join(fit, "g").withColumn("d2", distance())), "mcd")
-    return fit
+        placed = fit.drop(*SUMS, "log_det")
+        fit = cut(refit(cells.join(placed, "g").withColumn("d2", distance())), "mcd")
+    return fit.select("g", *SUMS)
+
+
+def limits(cells: DataFrame) -> DataFrame:
+    """(ls, centre, Cholesky factor) of each language and source of cells(ls, l, x, n), upheld by its language's and all rows' sums."""
+    names = F.array(*(F.concat(F.lit(level), name) for level, name in zip(LEVELS, ("ls", "l", F.lit("")), strict=True)))
+    levels = cells.select(F.explode(names).alias("g"), "n", *X).groupBy("g", *X).agg(F.sum("n").alias("n"))
+    fits = estimates(cut(levels, "quality-levels"))
+    held = cells.select("ls", "l").distinct().select("ls", *(F.get(names, i).alias(f"g{i}") for i in range(len(LEVELS))))
+    for i in range(len(LEVELS)):
+        held = held.join(fits.select(F.col("g").alias(f"g{i}"), F.struct(*SUMS).alias(f"f{i}")), f"g{i}")
+    upper = {c: F.col(f"f2.{c}") for c in SUMS}
+    for i in (1, 0):
+        share = PRIOR / upper["n"]
+        upper = {c: F.col(f"f{i}.{c}") + share * v for c, v in upper.items()}
+        held = held.select("*", F.struct(*(v.alias(c) for c, v in upper.items())).alias(f"h{i}"))
+        upper = {c: F.col(f"h{i}.{c}") for c in SUMS}
+    return shape(held.select("ls", "h0.*")).select("ls", *MU, *(f"l{i}{j}" for i, j in LOW))
 
 
 def judged(stats: DataFrame) -> DataFrame:
-    """stats with base_failed, kept and distance2, the robust distance (null where the base alone decides)."""
+    """stats with base_failed, kept and distance2, the robust distance (null where the base rules reject)."""
     named = stats.withColumn("ls", F.to_json(F.struct("lang", "source"))).withColumn("l", F.to_json(F.struct("lang")))
     for x, v in zip(X, vector(), strict=True):
         named = named.withColumn(x, v)
-    table = groups(named)
-    sound = named.where(~failed()).join(table.where(F.col("g").isNotNull()), "ls")
-    cells = cut(sound.groupBy("g", *X).agg(F.count("*").alias("n")), "quality-cells")
-    limits = cut(table.join(estimates(cells).drop("start", "log_det"), "g", "left"), "quality-limits")
+    cells = cut(named.where(~failed()).groupBy("ls", "l", *X).agg(F.count("*").alias("n")), "quality-cells")
     d2 = F.when(~failed(), distance() / CONSISTENT)
-    return named.join(limits, "ls", "left").select(
-        *stats.columns, failed().alias("base_failed"), (~failed() & F.coalesce(d2 <= CUTOFF, F.lit(True))).alias("kept"), F.round(d2, 6).alias("distance2")
+    return named.join(cut(limits(cells), "quality-limits"), "ls", "left").select(
+        *stats.columns, failed().alias("base_failed"), (~failed() & F.coalesce(d2 <= CUTOFF, F.lit(False))).alias("kept"), F.round(d2, 6).alias("distance2")
     )
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, base_failed, kept and the robust distance (null where the base alone decides) of every document."""
+    """doc_id, the base statistics, base_failed, kept and the robust distance (null where the base rules reject) of every document."""
     return judged(cut(statistics(docs), "quality-statistics")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2"
     )

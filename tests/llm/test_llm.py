@@ -81,6 +81,68 @@ def test_outliers_are_rejected_and_sound_rows_stay(spark):
     assert not any(got[1000 + k] for k in range(3)) and sum(got[k] for k in range(150)) >= 148
 
 
+def plain_mcd(x, floors, starts):
+    """C-steps on rows instead of bins: the sums of the nearest rows of the start of least determinant."""
+
+    def shape(rows):
+        return rows.mean(0), np.cov(rows.T, bias=True).reshape(len(floors), -1) + np.diag(np.square(floors))
+
+    take = int(np.ceil(quality_rules.HALF * len(x)))
+    distance = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+    done = []
+    for d in starts:
+        for _ in range(quality_rules.STEPS_ALL + quality_rules.STEPS_BEST):
+            near = x[np.argsort(d, kind="stable")[:take]]
+            d = distance(*shape(near))
+        near = x[np.argsort(d, kind="stable")[:take]]
+        done.append((np.linalg.slogdet(shape(near)[1])[1], near))
+    return min(done, key=lambda v: v[0])[1]
+
+
+def test_robust_distance_equals_a_plain_mcd_with_small_groups_upheld_by_their_language(spark):
+    rng, floors = np.random.default_rng(7), np.array(quality_rules.FLOORS)
+    groups = {("en", "big"): 400, ("en", "two"): 2, ("en", None): 30, (None, "one"): 1}
+    rows = []
+    for (lang, source), n in groups.items():
+        for _ in range(n):
+            symbols = "#" * int(rng.integers(0, 8))
+            rows.append((len(rows), " ".join("x" * int(k) + str(len(rows) * 997 + i) for i, k in enumerate(rng.integers(1, 9, rng.integers(30, 300)))) + symbols, lang, source))
+    rows += [(len(rows) + k, " ".join(f"{k}v{i}" + "%" * 40 for i in range(200)), "en", "two") for k in range(1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    vectors = {}
+    for k, r in got.items():
+        n, c = max(r.n_words, 1), max(r.word_chars, 1)
+        vectors[k] = np.array([np.log1p(r.n_words), np.log(c / n), np.sqrt(r.n_symbols / c), np.sqrt(r.n_dup_lines / n), np.sqrt(r.n_repeat_words / n)])
+
+    def near(ids):
+        x = np.array([vectors[k] for k in ids])
+        low, mid, high = np.quantile(x, [0.25, 0.5, 0.75], axis=0)
+        z = np.abs(x - mid) / np.maximum((high - low) / 1.349, floors)
+        return plain_mcd(x, floors, [(z * z).sum(1), z.max(1), z.sum(1)])
+
+    def moments(x):
+        return np.array([len(x)]), x.sum(0), x.T @ x
+
+    upheld = lambda own, parent: tuple(a + quality_rules.PRIOR / parent[0] * b for a, b in zip(own, parent, strict=True))
+    everything = moments(near([r[0] for r in rows]))
+    close = {}
+    for lang in ("en", None):
+        language = upheld(moments(near([r[0] for r in rows if r[2] == lang])), everything)
+        for source in {r[3] for r in rows if r[2] == lang}:
+            ids = [r[0] for r in rows if r[2:] == (lang, source)]
+            n, t, p = upheld(moments(near(ids)), language)
+            mean = t / n
+            inverse = np.linalg.inv(p / n - np.outer(mean, mean) + np.diag(floors**2))
+            for k in ids:
+                close[k] = (vectors[k] - mean) @ inverse @ (vectors[k] - mean) / quality_rules.CONSISTENT
+    # whole bins and bin quantiles move the estimate a little
+    assert all(abs(got[k].distance2 - d) <= 0.05 + 0.15 * d for k, d in close.items())
+    assert not got[rows[-1][0]].kept and close[rows[-1][0]] > quality_rules.CUTOFF
+    assert all(got[k].kept for k, d in close.items() if d < 0.8 * quality_rules.CUTOFF)
+
+
 def test_rejected_rows_take_no_others_along(spark):
     rng = random.Random(6)
     text = lambda n: " ".join(rng.choice(["ab", "abcd", "abcdef", "abcdefgh"]) + str(rng.randint(0, 999)) for _ in range(n))
