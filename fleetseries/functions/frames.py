@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
@@ -128,19 +128,22 @@ def runs(df: DataFrame, flag: Column, keys: tuple[str, ...] = SERIES_KEYS, t: st
     return running_sum(marked, start, "run_id", keys, t).where("__f").drop("__f", "__p")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the shared folder and read back: what follows reads it as often as it likes.
-
-    Lineage ends there, and a lost executor loses nothing. The folder is spark.checkpoint.dir; one of our own is taken
-    only where that is unset and all runs on one machine.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name under spark.checkpoint.dir; under one of our own only where that is unset and all runs on one machine."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetseries-"))
         place = spark.sparkContext.getCheckpointDir()
-    path = f"{place}/fleetseries/settled-{uuid.uuid4().hex}"
+    return f"{place}/fleetseries/{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the shared folder and read back: what follows reads it as often as it likes.
+
+    Lineage ends there, and a lost executor loses nothing.
+    """
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

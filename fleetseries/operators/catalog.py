@@ -135,7 +135,7 @@ def deduped(records: DataFrame, keys: list[str], stamp: str) -> DataFrame:
     return records.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("__r")).select(*keys, "__r.*")
 
 
-def bootstrap_median(differences: DataFrame, keys: list[str], draws: int = 200) -> DataFrame:
+def bootstrap_median(differences: DataFrame, keys: list[str], draws: int = 10_000) -> DataFrame:
     """(keys, n, low, high): the 2.5 and 97.5 % points of the median over md5-picked resamples. Rows are a result table's few."""
     placed = differences.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy("entity")) - 1)
     n = placed.groupBy(*keys).agg(F.count("*").alias("n"))

@@ -495,7 +495,7 @@ def r1(spark, d):
 
 
 @query("r11_bootstrap", PAIR_RECORDS + """, e AS (SELECT cluster, entity, avg(d) AS d FROM x GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY entity) - 1 AS i, count(*) OVER (PARTITION BY cluster) AS n FROM e),
-b AS (SELECT p.cluster, p.n, draw, quantile_cont(q.d, 0.5) AS m FROM p CROSS JOIN (SELECT unnest(range(0, 200)) AS draw) JOIN p AS q ON q.cluster = p.cluster AND q.i = ('0x' || substr(md5(draw || '|' || p.i), 1, 8))::BIGINT % p.n GROUP BY ALL)
+b AS (SELECT p.cluster, p.n, draw, quantile_cont(q.d, 0.5) AS m FROM p CROSS JOIN (SELECT unnest(range(0, 10000)) AS draw) JOIN p AS q ON q.cluster = p.cluster AND q.i = ('0x' || substr(md5(draw || '|' || p.i), 1, 8))::BIGINT % p.n GROUP BY ALL)
 SELECT cluster, n, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM b GROUP BY ALL""")
 def r11(spark, d):
     each = differences(spark, d).groupBy("cluster", "entity").agg(F.avg("d").alias("d"))

@@ -149,25 +149,29 @@ def save_series(series: DataFrame, path: str, dataset: str) -> None:
     series.withColumn("dataset", F.lit(dataset)).write.mode("append").partitionBy("dataset", "split").parquet(path)
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw metric files (timestamp, value, label), one entity a file: NaN values become null, null labels 0."""
+#: A file's name without its folder and last suffix.
+FILE_STEM = r"([^/]*?)(\.[^./]*)?$"
+
+
+def read_raw_csv(spark: SparkSession, path: str, name: str = FILE_STEM) -> DataFrame:
+    """Raw metric files (timestamp, value, label), named by the first group of `name` in their path: NaN values become null, null labels 0."""
     raw = spark.read.schema("timestamp long, value double, label int").option("header", True).csv(path)
     return raw.select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1).alias("entity"), "timestamp",
+        F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("entity"), "timestamp",
         F.when(~F.isnan("value"), F.col("value")).alias("value"), F.coalesce("label", F.lit(0)).alias("label"),
     )
 
 
-def read_value_text(spark: SparkSession, path: str) -> DataFrame:
-    """Text series, a value a line or all on one line; name_<train end>_<first>_<last anomaly>.txt gives the bounds."""
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    bound = lambda k: F.regexp_extract("file", r"_(\d+)_(\d+)_(\d+)\.txt$", k).cast("long")
+def read_value_text(spark: SparkSession, path: str, name: str = FILE_STEM) -> DataFrame:
+    """Text series, a value a line or all on one line; the name <entity>_<train end>_<first>_<last anomaly> gives the bounds."""
+    whole = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("file"))
+    bound = lambda k: F.regexp_extract("file", r"_(\d+)_(\d+)_(\d+)$", k).cast("long")
     values = whole.select(
-        F.regexp_extract("file", r"^(.*?)_\d+_\d+_\d+\.txt$", 1).alias("entity"), bound(1).alias("train_end"), bound(2).alias("first"), bound(3).alias("last"),
+        F.regexp_extract("file", r"^(.*)_\d+_\d+_\d+$", 1).alias("entity"), bound(1).alias("train_end"), bound(2).alias("first"), bound(3).alias("last"),
         F.posexplode(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).alias("t", "raw"),
     )
     inside = F.col("t").between(F.col("first"), F.col("last"))
-    return values.select("entity", "train_end", F.col("t").cast("long"), F.col("raw").cast("double").alias("value"), inside.cast("int").alias("label"))
+    return values.select("entity", "train_end", F.col("t").cast("long").alias("t"), F.col("raw").cast("double").alias("value"), inside.cast("int").alias("label"))
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -176,14 +180,34 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
-def read_training_log(spark: SparkSession, path: str) -> DataFrame:
-    """Epoch, step and losses of log lines that have them; of each run, epoch and step the last line counts."""
-    line = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("run"))
-    part = lambda name: F.regexp_extract("value", rf"{name}\s*[=:]\s*([-+0-9.eE]+)", 1)
+def read_training_log(spark: SparkSession, path: str, name: str = FILE_STEM) -> DataFrame:
+    """Epoch, step and losses of log lines that have them, by run (the first group of `name` in the file's path)."""
+    line = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_path"), name, 1).alias("run"))
+    part = lambda key: F.regexp_extract("value", rf"{key}\s*[=:]\s*([-+0-9.eE]+)", 1)
     rows = line.select("run", *(part(n).alias(n) for n in ("epoch", "step", "train_loss", "val_loss"))).where("epoch <> ''")
     return rows.select("run", F.expr("try_cast(epoch as int)").alias("epoch"), *(F.expr(f"try_cast({n} as double)").alias(n) for n in ("step", "train_loss", "val_loss")))
 
 
+def last_steps(log: DataFrame) -> DataFrame:
+    """The losses of the last step of each run and epoch."""
+    best = F.max_by(F.struct("step", "train_loss", "val_loss"), "step").alias("r")
+    return log.groupBy("run", "epoch").agg(best).select("run", "epoch", "r.*")
+
+
+def manifest(spark: SparkSession, path: str, name: str = FILE_STEM) -> DataFrame:
+    """(name, bytes, sha256) of each file that is not empty (Spark lists no empty ones). A file is one row, so it must be below 2 GB."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", name, 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where("name <> ''")
+
+
+def drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, status, bytes_changed) of the files of two manifests: ok, drift (other content), missing (in old alone) or extra (in new alone)."""
+    side = lambda df, s: df.select("name", F.col("bytes").alias(f"bytes_{s}"), F.col("sha256").alias(f"sha_{s}"))
+    both = side(old, "old").join(side(new, "new"), "name", "full")
+    status = F.when(F.col("sha_new").isNull(), "missing").when(F.col("sha_old").isNull(), "extra").when(F.col("sha_old") == F.col("sha_new"), "ok").otherwise("drift")
+    return both.select("name", status.alias("status"), (F.col("bytes_new") - F.col("bytes_old")).alias("bytes_changed"))
+
+
 def wide(records: DataFrame, row: str, column: str, value: str) -> DataFrame:
     """A result matrix: one row and column a name; the first value where there are more."""
     return records.groupBy(row).pivot(column).agg(F.first(value))
