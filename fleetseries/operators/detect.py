@@ -40,29 +40,55 @@ def random_head(series: DataFrame, seed: int = 0) -> DataFrame:
     return series.withColumn("score", h / F.lit(float(1 << 53)))
 
 
+#: Numbers that a task's sums of products may take before they are passed on: 256 MB.
+HELD = 1 << 25
+
+
 def gram(vectors: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
-    """n, s (sums) and g (sums of products, row by row) of vectors by key: each task adds up its own rows, Spark adds the tasks'."""
+    """n, s (sums) and g (sums of products, row by row) of vectors by key.
+
+    A task adds up its own rows over all its batches, and passes the sums on when they take HELD numbers; Spark adds
+    the tasks' sums. Products are sent once for a pair of places.
+    """
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+        width = 0
+
+        def flush() -> pd.DataFrame:
+            rows = [(*key, n, t, g[np.triu_indices(len(t))]) for key, (n, t, g) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*keys, "n", "s", "g"])
+
         for pdf in batches:
-            rows = []
             for key, own in pdf.groupby(keys, dropna=False, sort=False):
                 x = np.stack(own[v].to_numpy()).astype(float)
-                rows.append((*(key if isinstance(key, tuple) else (key,)), len(x), x.sum(0), (x.T @ x).ravel()))
-            yield pd.DataFrame(rows, columns=[*keys, "n", "s", "g"])
+                width = x.shape[1]
+                sums = held.setdefault(tuple(None if pd.isna(k) else k for k in key), [0, np.zeros(width), np.zeros((width, width))])
+                sums[0] += len(x)
+                sums[1] += x.sum(0)
+                sums[2] += x.T @ x
+                if len(held) * width * width > HELD:
+                    yield flush()
+        if held:
+            yield flush()
 
     kinds = ", ".join(f"`{k}` {dict(vectors.dtypes)[k]}" for k in keys)
     parts = vectors.select(*keys, v).mapInPandas(part, f"{kinds}, n long, s array<double>, g array<double>")
-    counts = parts.groupBy(*keys).agg(F.sum("n").alias("n"))
-    cells = lambda c: (
-        parts.select(*keys, F.posexplode(c).alias("i", "x"))
-        .groupBy(*keys, "i").agg(F.sum("x").alias("x"))
-        .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias(c))
-    )
-    return counts.join(cells("s"), keys).join(cells("g"), keys)
+    # one row a place: the count, then the sums, then the triangle
+    cells = parts.select(*keys, F.size("s").alias("m"), F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "g")).alias("i", "x"))
+    added = cells.groupBy(*keys, "m", "i").agg(F.sum("x").alias("x")).groupBy(*keys, "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("x"))
+    m = F.col("m")
+
+    def product(k: Column) -> Column:
+        i, j = F.least(F.floor(k / m), k % m), F.greatest(F.floor(k / m), k % m)
+        return F.get("x", (1 + m + i * m - F.floor(i * (i - 1) / 2) + j - i).cast("int"))  # rows before i have m, m - 1, ... places
 
+    whole = F.transform(F.sequence(F.lit(0), m * m - 1), product)
+    return added.select(*keys, F.get("x", F.lit(0)).cast("long").alias("n"), F.slice("x", F.lit(2), m).alias("s"), whole.alias("g"))
 
-def ar_stats(series: DataFrame, keys: list[str], p: int = 8, value: str = "x") -> DataFrame:
+
+def ar_stats(series: DataFrame, keys: list[str], p: int = 32, value: str = "x") -> DataFrame:
     """Sums for an AR(p) fit by key: over vectors of the p values before a point, last first, with the point itself at the end."""
     lagged = framed(series, p, 0, {"__w": lambda w: F.collect_list(value).over(w.rowsBetween(-p, 0))}).where(F.size("__w") == p + 1)
     return gram(lagged.select(*keys, F.concat(F.reverse(F.slice("__w", 1, p)), F.slice("__w", p + 1, 1)).alias("v")), keys)
@@ -86,7 +112,7 @@ def ar_solve(stats: DataFrame, keys: list[str], ridge: float = 1e-4) -> DataFram
     return stats.mapInPandas(solve, f"{kinds}, w array<double>, sigma2 double")
 
 
-def ar_score(series: DataFrame, models: DataFrame, keys: list[str], p: int = 8, value: str = "x") -> DataFrame:
+def ar_score(series: DataFrame, models: DataFrame, keys: list[str], p: int = 32, value: str = "x") -> DataFrame:
     """score: squared one-step error over the model's error variance; 0 for the first p points."""
     lagged = framed(series, p, 0, {"__w": lambda w: F.collect_list(value).over(w.rowsBetween(-p, -1))}).join(models, keys)
     guess = F.aggregate(F.zip_with(F.reverse("__w"), "w", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
@@ -115,21 +141,23 @@ def subspace_models(stats: DataFrame, keys: list[str], top: int = 8, shrink: flo
     return stats.mapInPandas(solve, f"{kinds}, mu array<double>, residual array<double>, white array<double>")
 
 
-def apply_matrix(windows: DataFrame, models: DataFrame, keys: list[str], matrix: str) -> DataFrame:
-    """windows with r: the squares of (w - mu) times the model's matrix, in numpy by batches of one model."""
+def apply_matrix(windows: DataFrame, models: DataFrame, keys: list[str], matrix: str, t: str = "w_start", chunk: int = 1 << 14) -> DataFrame:
+    """windows with r: the squares of (w - mu) times the model's matrix, in numpy. A model goes once to each chunk of its key: of steps t, or by the windows' hash where there is no t."""
     schema = windows.withColumn("r", F.array(F.lit(0.0))).schema
     names = windows.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = []
-            for _, own in pdf.groupby(keys, sort=False):
-                m = len(own.iloc[0]["mu"])
-                x = (np.stack(own["w"].to_numpy()) - own.iloc[0]["mu"]) @ np.asarray(own.iloc[0][matrix]).reshape(m, m)
-                parts.append(own[names].assign(r=list(x * x)))
-            yield pd.concat(parts) if parts else pdf[names].assign(r=[])
-
-    return windows.join(models.select(*keys, "mu", matrix), keys).select(*names, "mu", matrix).mapInPandas(run, schema)
+    def run(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or model.empty:
+            return pd.DataFrame(columns=[*names, "r"])
+        mu = np.asarray(model.iloc[0]["mu"], float)
+        x = (np.stack(own["w"].to_numpy()) - mu) @ np.asarray(model.iloc[0][matrix], float).reshape(len(mu), len(mu))
+        return own[names].assign(r=list(x * x))
+
+    dealt = windows.withColumn("__chunk", F.floor(F.col(t) / chunk) if t in names else F.pmod(F.xxhash64("w"), F.lit(256)))
+    each = dealt.select(*keys, "__chunk").distinct().join(models.select(*keys, "mu", matrix), keys)
+    by = [F.col(c).alias(f"__of_{c}") for c in (*keys, "__chunk")]
+    one = each.select(*by, "mu", matrix).groupBy(*(f"__of_{c}" for c in (*keys, "__chunk")))
+    return dealt.groupBy(*keys, "__chunk").cogroup(one).applyInPandas(run, schema)
 
 
 # -- assembly ------------------------------------------------------------------------------------------
