@@ -8,8 +8,9 @@ from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetseries.llm import bpe, chat, media_audio, packing, quality_classifier, quality_rules, secret_scan, simhash, toxicity, url_filter
+from fleetseries.llm import bpe, chat, hard_negatives, jaccard_join, media_audio, packing, quality_classifier, quality_rules, secret_scan, simhash, spelling, toxicity, url_filter
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Documents can be long: few rows an Arrow batch keep a Python worker's memory low.
@@ -99,11 +100,28 @@ def op10_chat_rotation(conversations: DataFrame, spark: SparkSession, sf_dir: st
     return chat.rotate(conversations)
 
 
+@over("embeddings")
+def op11_hard_negatives(vectors: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.candidates(vectors.withColumn("label", moved)), F.col("id") % 50 == 0)
+
+
+@over("documents")
+def op12_jaccard_join(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(docs, words=3, percent=90)
+
+
+@over("documents")
+def op13_spelling_variants(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(docs)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_bpe, op2_toxicity, op3_quality_rules, op4_quality_classifier, op5_media_audio,
         op6_url_filter, op7_simhash, op8_packing, op9_secret_scan, op10_chat_rotation,
+        op11_hard_negatives, op12_jaccard_join, op13_spelling_variants,
     )
 }
 
@@ -130,4 +148,9 @@ SELECT page_id, host, path, {_rule_case("rule")} AS rule,
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op6_url_filter": URL_SQL, "op10_chat_rotation": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_url_filter": URL_SQL,
+    "op10_chat_rotation": chat.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_jaccard_join": jaccard_join.ORACLE,
+}
