@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of doc_id as text leaves 1 when divided by 3; false for a null doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def solved(matrix: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """matrix^-1 right by elimination with row exchanges, for a few hundred unknowns.
+
+    A threaded LAPACK call can hang in a driver, a process that runs a JVM beside numpy; this calls none.
+    """
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), right.reshape(n, -1).astype(float)])
+    for k in range(n):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, p]] = both[[p, k]]
+        both[k, k:] /= both[k, k]
+        rows = np.flatnonzero(both[k + 1 :, k]) + k + 1
+        both[rows, k:] -= both[rows, k, None] * both[k, k:]
+    for k in range(n - 1, 0, -1):
+        both[:k, n:] -= both[:k, k, None] * both[k, n:]
+    return both[:, n:].reshape(right.shape)

@@ -3,9 +3,9 @@
 Every document's ids, with one more at its end, are cut into full sequences and a rest. The rests' lengths, in steps
 of UNIT ids rounded up, make a histogram. A linear program over patterns (how many rests of each length share a
 sequence) is solved by column generation: a revised simplex method keeps the basis, and a knapsack dynamic program
-over the dual prices finds the next pattern. Patterns are used as often as the rounded solution says, what is left is
-filled greedily from the longest down, and the rests of each length, ranked over the whole table, take the patterns'
-places in turn. Only the histogram (CAPACITY / UNIT numbers) reaches the driver.
+over the dual prices finds the next patterns. Patterns are used as often as the rounded solution says, what is left is
+filled by best fit, the whole is never more than best fit alone would take, and the rests of each length, ranked over
+the whole table, take the patterns' places in turn. Only the histogram (CAPACITY / UNIT numbers) reaches the driver.
 
 Cases: a null text counts as empty, and an empty text still has its closing id; repeated rows are packed each; null
 doc_ids are kept; an empty table packs to no rows; other columns are not looked at.
@@ -27,11 +27,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetseries.llm.bpe import byte_letters
-from fleetseries.llm.common import cut
+from fleetseries.llm.common import cut, solved
 
 CAPACITY, UNIT, CLOSING = 2048, 8, 1
-#: Pricing stops when the linear program is this near to its bound, or after so many rounds: its solution then is whole, if not the best.
-GAP, MOST_ROUNDS = 2e-3, 3000
+#: Pricing stops when the linear program is this near to its bound.
+GAP = 5e-4
 KEPT_STRETCHES, CHARS_AT_ONCE = 300_000, 2_000_000
 
 _STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -159,105 +159,132 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 # -- the linear program --------------------------------------------------------------------------------
 
 
-def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best value of a pattern, and the pattern: any number of each size up to the capacity.
+def best_of_each_capacity(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack program: by capacity the most that any number of each size is worth, and the size to take first (-1: none)."""
+    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(1, capacity + 1):
+        fit = np.searchsorted(sizes, room, side="right")
+        best[room] = best[room - 1]
+        take[room] = take[room - 1] if best[room] > 0 else -1
+        if fit:
+            worth = best[room - sizes[:fit]] + prices[:fit]
+            k = int(worth.argmax())
+            if worth[k] > best[room]:
+                best[room], take[room] = worth[k], k
+    return best, take
 
-    best[c] is the most that one item fits into c; each doubling joins two such halves at every split of every
-    capacity at once, so the patterns' number of items doubles until nothing gains.
-    """
-    worth, which = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    worth[sizes], which[sizes] = np.maximum(prices, 0), np.arange(len(sizes))
-    top = np.maximum.accumulate(worth)
-    at = np.maximum.accumulate(np.where(worth >= top, np.arange(capacity + 1), 0))
-    best, one = top, np.where(top > 0, which[at], -1)
-    split = np.arange(capacity + 1)[:, None] - np.arange(capacity + 1)
-    joins: list[np.ndarray] = []
-    while True:
-        joined = np.where(split >= 0, best + best[np.abs(split)], -1.0)
-        cut_at = joined.argmax(1)
-        new = joined[np.arange(capacity + 1), cut_at]
-        if new[capacity] <= best[capacity] + 1e-12:
-            break
-        joins.append(cut_at)
-        best = new
+
+def pattern_of(sizes: np.ndarray, take: np.ndarray, first: int, capacity: int) -> np.ndarray:
+    """The best pattern that holds one of the size numbered `first`."""
     pattern = np.zeros(len(sizes), np.int64)
-    rooms = [(capacity, len(joins))]
-    while rooms:
-        room, level = rooms.pop()
-        if level:
-            part = int(joins[level - 1][room])
-            rooms += [(part, level - 1), (room - part, level - 1)]
-        elif one[room] >= 0:
-            pattern[one[room]] += 1
-    return float(best[capacity]), pattern
-
-
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, most: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    pattern[first] = 1
+    room = capacity - int(sizes[first])
+    while room and take[room] >= 0:
+        pattern[take[room]] += 1
+        room -= int(sizes[take[room]])
+    return pattern
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, start: list[np.ndarray], gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Patterns by row and how often the linear program uses each: fewest sequences that hold demand[k] rests of sizes[k].
 
-    sizes ascend. Starts from one pattern a size; each round the knapsack prices a pattern by the duals, and the
-    simplex method exchanges it. The best value of a pattern, and the sum of the sizes, bound the program from below: it
-    ends within gap of that.
+    sizes ascend. The simplex method runs over the patterns known so far (at first, one a size and those of `start`)
+    until none improves the basis. Then one knapsack program over the duals prices, for each size, the best pattern
+    that holds it, and all that improve become known. It ends at the optimum, or when it is within gap of the bound
+    that the best value of a pattern, or the sum of the sizes, gives from below. Demands are shifted by less than
+    a millionth each, so that no step is empty and the method cannot circle.
     """
-    basis = np.diag(capacity // sizes).astype(float)  # a column is a pattern
-    inverse = np.diag(1.0 / (capacity // sizes))
-    used = inverse @ demand
-    bound = float(sizes @ demand) / capacity
-    for round_ in range(most):
-        prices = inverse.sum(0)
-        value, pattern = knapsack(sizes, prices, capacity)
-        bound = max(bound, used.sum() / value)
-        if used.sum() <= bound * (1 + gap):
-            break
-        step = inverse @ pattern
-        ratio = np.where(step > 1e-9, used / np.where(step > 1e-9, step, 1), np.inf)
-        k = int(np.argmin(ratio))
-        if not np.isfinite(ratio[k]):
-            break
-        moved = max(ratio[k], 0.0)
-        used = used - moved * step
-        used[k] = moved
-        pivot = inverse[k] / step[k]
-        inverse = inverse - np.outer(step, pivot)
-        inverse[k] = pivot
-        basis[:, k] = pattern
-        if round_ % 200 == 199:  # against rounding errors that add up
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
-    return basis.T.astype(np.int64), used
+    count = len(sizes)
+    demand = demand + np.linspace(1e-7, 9e-7, count)
+    known = np.array([*np.diag(capacity // sizes), *start], np.int64)
+    held = {p.tobytes() for p in known}
+    chosen = np.arange(count)
+    inverse = np.diag(1.0 / (capacity // sizes))  # of the matrix whose columns are the chosen patterns
+    used = demand / (capacity // sizes)
+    bound, pivots = float(sizes @ demand) / capacity, 0
+    while True:
+        while True:
+            prices = inverse.sum(0)
+            worth = np.einsum("ij,j->i", known, prices)
+            enter = int(worth.argmax())
+            if worth[enter] <= 1 + 1e-9:
+                break
+            step = np.einsum("ij,j->i", inverse, known[enter])
+            able = step > 1e-9
+            ratio = np.where(able, used / np.where(able, step, 1), np.inf)
+            k = int(np.argmin(ratio))
+            moved = max(ratio[k], 0.0)
+            used = used - moved * step
+            used[k] = moved
+            pivot = inverse[k] / step[k]
+            inverse = inverse - np.outer(step, pivot)
+            inverse[k] = pivot
+            chosen[k] = enter
+            pivots += 1
+            if pivots % 200 == 0:  # against rounding errors that add up
+                inverse = solved(known[chosen].T, np.eye(count))
+                used = np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
+        best, take = best_of_each_capacity(sizes, prices, capacity)
+        bound = max(bound, used.sum() / max(best[capacity], 1.0))
+        worth = prices + best[capacity - sizes]
+        new = [p for k in np.argsort(-worth) if worth[k] > 1 + 1e-7 and (p := pattern_of(sizes, take, int(k), capacity)).tobytes() not in held]
+        new = list({p.tobytes(): p for p in new}.values())
+        if used.sum() <= bound * (1 + gap) or not new:
+            return known[chosen], used
+        held.update(p.tobytes() for p in new)
+        known = np.concatenate([known, new])
+
+
+def best_fit(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """(pattern, times) by best fit from the longest down: each rest goes where the least room is left. Equal sequences are handled together."""
+    groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by room: sequences (the sizes in them, by number) and how many there are
+
+    def put(room: int, inside: tuple[int, ...], times: int) -> None:
+        if times:
+            groups.setdefault(room, []).append((inside, times))
+
+    for k in range(len(sizes) - 1, -1, -1):
+        size, n = int(sizes[k]), int(demand[k])
+        for room in [r for r in sorted(groups) if r >= size] + [capacity]:
+            each = room // size
+            for inside, times in groups.pop(room, []) if room < capacity else [((), n)]:
+                whole = min(times, n // each)
+                n -= whole * each
+                put(room - each * size, (*inside, *[k] * each), whole)
+                if whole < times and 0 < n < each:
+                    put(room - n * size, (*inside, *[k] * n), 1)
+                    whole, n = whole + 1, 0
+                if inside or room < capacity:
+                    put(room, inside, times - whole)
+            if not n:
+                break
+    found = [(np.bincount(inside, minlength=len(sizes)), times) for held in groups.values() for inside, times in held]
+    return [(pattern, times) for pattern, times in found if pattern.any()]
 
 
 def plan(demand: dict[int, int], capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(sizes, copies, times) of each pattern, longest sizes first; together they hold demand exactly."""
+    """(sizes, copies, times) of each pattern, longest sizes first; together they hold demand exactly.
+
+    The linear program's whole parts, and best fit for what is left; or best fit for all where that takes no more.
+    """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), np.int64)
     if not len(sizes):
         return []
-    left = np.array([demand[s] for s in sizes.tolist()], np.int64)
-    patterns, used = cutting_stock(sizes, left.astype(float), capacity)
-    out = []
-
-    def take(pattern: np.ndarray, times: int) -> None:
-        nonlocal left
-        left = left - pattern * times
-        some = np.flatnonzero(pattern)[::-1]
-        out.append((sizes[some], pattern[some], times))
-
-    order = np.argsort(-(used - np.floor(used)), kind="stable")
-    for k in range(len(patterns)):
-        limit = int(np.min(left[patterns[k] > 0] // patterns[k][patterns[k] > 0]))
-        if (times := min(int(np.floor(used[k] + 1e-9)), limit)) > 0:
-            take(patterns[k], times)
-    for k in order:  # round up while a whole pattern is still wanted
-        if used[k] - np.floor(used[k]) > 1e-9 and (patterns[k] <= left).all():
-            take(patterns[k], 1)
-    while left.any():
-        pattern, room = np.zeros(len(sizes), np.int64), capacity
-        for k in np.flatnonzero(left)[::-1]:
-            pattern[k] = min(left[k], room // sizes[k])
-            room -= pattern[k] * sizes[k]
-        some = pattern > 0
-        take(pattern, int(np.min(left[some] // pattern[some])))
-    return out
+    wanted = np.array([demand[s] for s in sizes.tolist()], np.int64)
+    plain = best_fit(sizes, wanted, capacity)
+    patterns, used = cutting_stock(sizes, wanted.astype(float), capacity, [p for p, _ in plain])
+    left, taken = wanted.copy(), []
+    for rounding in (np.floor(used + 1e-6), np.ceil(used - 1e-6) - np.floor(used + 1e-6)):  # then up, while a whole pattern is still wanted
+        for k in np.argsort(np.floor(used) - used, kind="stable"):
+            some = patterns[k] > 0
+            times = min(int(rounding[k]), int(np.min(left[some] // patterns[k][some])))
+            if times > 0:
+                left -= times * patterns[k]
+                taken.append((patterns[k], times))
+    taken += best_fit(sizes, left, capacity)
+    if sum(t for _, t in plain) <= sum(t for _, t in taken):
+        taken = plain
+    return [(sizes[some], pattern[some], times) for pattern, times in taken if len(some := np.flatnonzero(pattern)[::-1])]
 
 
 def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:

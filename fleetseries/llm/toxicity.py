@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetseries.llm.common import labelled_sample
+from fleetseries.llm.common import labelled_sample, solved
 
 SAMPLE, FOLDS, WORDS, ROUNDS, RIDGE = 8000, 3, 192, 15, 0.5
 #: Terms that give a toxic document its category (fixed values).
@@ -66,7 +66,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     ridge[-1] = 1e-6
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-6)) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        step = solved((x.T * (p * (1 - p) + 1e-6)) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
         w = w - step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-6:
             break
