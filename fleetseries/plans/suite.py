@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetseries.functions.frames import framed, settled
-from fleetseries.operators import detect, fusion, merging, models, volume
+from fleetseries.operators import detect, fusion, merging, models, proximity, volume
 from fleetseries.operators.prep import KEYS
 from fleetseries.plans.fleet import FUSION_SQL, HEADS, RATIO_SQL, head_scores
 from fleetseries.plans.queries import ASSIGN_SQL, PRED_SQL, RECORD_SQL, SCALED_SQL, predicted, query, read, records, rounded, scaled, scored
@@ -36,6 +36,44 @@ def j10(spark, d):
     return rounded(volume.surface(predicted(spark, d), ["entity"], BUFFER, CUTS), "vus_roc", "vus_pr")
 
 
+ZONES_SQL = PRED_SQL + f""", ends AS (SELECT entity, min(t) AS first, max(t) AS last FROM pred GROUP BY entity),
+prs AS (SELECT unnest([0, 0, {BUFFER}, {BUFFER}]) AS e, unnest([0, {BUFFER}, 0, {BUFFER}]) AS d),
+zo AS (SELECT entity, e, d, a, b, b - a + 1 AS len, first, least(b + d, coalesce(lead(a) OVER (PARTITION BY entity, e, d ORDER BY a) - 1, last)) AS stop FROM segs JOIN ends USING (entity) CROSS JOIN prs),
+zs AS (SELECT *, lag(stop) OVER (PARTITION BY entity, e, d ORDER BY a) AS prior FROM zo),
+zn AS (SELECT *, greatest(first, a - e, coalesce(prior + 1, first)) AS begin FROM zs),
+wt AS (SELECT entity, e, d, t, a, 'in' AS zone, 1.0 AS w FROM zn JOIN pred USING (entity) WHERE t BETWEEN a AND b
+ UNION ALL SELECT entity, e, d, t, a, 'pre', 1 - (len * (a - t) + len * (len - 1) / 2) / (len * (a - begin) + len * (len - 1) / 2) FROM zn JOIN pred USING (entity) WHERE t BETWEEN begin AND a - 1
+ UNION ALL SELECT entity, e, d, t, a, 'post', 1 - (len * (t - b) + len * (len - 1) / 2) / (len * (stop - b) + len * (len - 1) / 2) FROM zn JOIN pred USING (entity) WHERE t BETWEEN b + 1 AND stop)"""
+#: From pk (entity, k, t, p): whether a point is predicted at cut k.
+PROXIMITY_SQL = """dt AS (SELECT pk.entity, k, a, b, min(CASE WHEN p THEN t END) AS head FROM pk JOIN segs ON segs.entity = pk.entity AND t BETWEEN a AND b GROUP BY ALL),
+rn AS (SELECT dt.entity, dt.k, a, b, head, coalesce(min(CASE WHEN NOT p AND t > head THEN t END), any_value(b) + 1) - any_value(head) AS run FROM dt JOIN pk ON pk.entity = dt.entity AND pk.k = dt.k AND t BETWEEN a AND b GROUP BY ALL),
+ms AS (SELECT rn.entity, rn.k, sum(CASE WHEN p THEN 0 WHEN head IS NULL OR t - a <= run THEN 1 ELSE 1 - ((run + 1) * (t - a) - run * (run + 1) / 2) / ((b - a + 1) * (b - a) / 2) END) AS missed
+       FROM rn JOIN pk ON pk.entity = rn.entity AND pk.k = rn.k AND t BETWEEN a AND b GROUP BY ALL),
+tp AS (SELECT pk.entity, e, d, pk.k, sum(CASE WHEN zone = 'pre' AND head IS NULL THEN 0 ELSE w END) AS tp FROM pk JOIN wt ON wt.entity = pk.entity AND wt.t = pk.t AND p JOIN dt ON dt.entity = pk.entity AND dt.k = pk.k AND dt.a = wt.a GROUP BY ALL),
+np AS (SELECT entity, k, sum(CASE WHEN p THEN 1 ELSE 0 END) AS n FROM pk GROUP BY ALL),
+pr AS (SELECT np.entity, prs.e, prs.d, np.k, coalesce(tp / nullif(n, 0), 0) AS prec, round(coalesce(tp / nullif(tp + coalesce(missed, 0), 0), 0), 12) AS rec
+       FROM np CROSS JOIN prs LEFT JOIN ms ON ms.entity = np.entity AND ms.k = np.k LEFT JOIN tp ON tp.entity = np.entity AND tp.k = np.k AND tp.e = prs.e AND tp.d = prs.d)"""
+
+
+@query("j11_pate", f"""pq AS (SELECT entity, t, label, round(score, 8) AS score FROM pred), ds AS (SELECT entity, score, max(label) AS hit FROM pq GROUP BY ALL),
+kp AS (SELECT entity, score, row_number() OVER (PARTITION BY entity ORDER BY score) - 1 AS r, count(*) OVER (PARTITION BY entity) AS m
+       FROM (SELECT *, lag(hit) OVER w AS lo, lead(hit) OVER w AS hi FROM ds WINDOW w AS (PARTITION BY entity ORDER BY score)) WHERE lo IS NULL OR hi IS NULL OR hit = 1 OR lo = 1),
+pl AS (SELECT entity, k, CASE WHEN abs(x - round(x)) < 1e-9 THEN round(x) ELSE x END AS x FROM (SELECT entity, k, (any_value(m) - 1) * ((100 + k * (CAST(-100 AS DOUBLE) / 249)) / 100) AS x FROM kp CROSS JOIN (SELECT unnest(range(0, 250)) AS k) GROUP BY entity, k)),
+th AS (SELECT pl.entity, k, CASE WHEN x = floor(x) THEN l.score ELSE l.score * (1 - (x - floor(x))) + h.score * (x - floor(x)) END AS thr FROM pl JOIN kp AS l ON l.entity = pl.entity AND l.r = floor(x) JOIN kp AS h ON h.entity = pl.entity AND h.r = ceil(x)),
+pk AS (SELECT p.entity, k, t, score >= thr AS p FROM pq AS p JOIN th ON th.entity = p.entity), {PROXIMITY_SQL},
+ri AS (SELECT * FROM (SELECT *, max(rec) OVER (PARTITION BY entity, e, d ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM pr) WHERE most IS NULL OR rec >= most),
+ar AS (SELECT entity, (rec - coalesce(lag(rec) OVER w, 0)) * (prec + coalesce(lag(prec) OVER w, 1)) / 2 AS area FROM ri WINDOW w AS (PARTITION BY entity, e, d ORDER BY k))
+SELECT entity, round(sum(area) / 4, 6) AS pate FROM ar GROUP BY entity""", ZONES_SQL)
+def j11(spark, d):
+    points = predicted(spark, d).withColumn("score", F.round("score", 8))  # which scores are one is not left to the last bit
+    return rounded(proximity.pate(points, ["entity"], BUFFER, BUFFER), "pate")
+
+
+@query("j11_pate_f1", f"pk AS (SELECT entity, 0 AS k, t, pred = 1 AS p FROM pred), {PROXIMITY_SQL} SELECT entity, round(sum(coalesce(2 * prec * rec / nullif(prec + rec, 0), 0)) / 4, 6) AS pate_f1 FROM pr GROUP BY entity", ZONES_SQL)
+def j11_f1(spark, d):
+    return rounded(proximity.pate_f1(predicted(spark, d), ["entity"], BUFFER, BUFFER), "pate_f1")
+
+
 STRATEGY_SQL = PRED_SQL + f""", adj AS (SELECT entity, t, label, CASE WHEN label = 1 THEN max(score) OVER (PARTITION BY entity, label, CASE WHEN label = 1 THEN seg ELSE -t END) ELSE score END AS score FROM marked),
 two AS (SELECT entity, 'raw' AS variant, label, score FROM pred UNION ALL SELECT entity, 'adjusted', label, score FROM adj),
 e4 AS (SELECT entity, variant, min(score) AS lo, max(score) AS hi, sum(label) AS pos FROM two GROUP BY ALL),
