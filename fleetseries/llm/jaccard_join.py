@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from heapq import merge
 from itertools import groupby
 
@@ -45,31 +46,44 @@ SHORT = 32
 #: Members of a long list that all the others are compared with first.
 CENTRES = 4
 COUNTERS_BITS, CHUNK_BITS = 22, 16
-#: Bytes of a text that are cut into words at once, and words whose hashes a task remembers.
-PIECE, KNOWN = 1 << 20, 1 << 20
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 17
 SPACE = re.compile(rb"[ \t-\r]")
 FACTOR, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class Hashes(dict):
-    """The hash of a word, remembered up to a bound."""
+@lru_cache(maxsize=1)
+def tables(size: int) -> tuple[np.ndarray, ...]:
+    """By byte: whether it parts words, and a 64-bit number; by place: the power of FACTOR, and its inverse modulo 2^64."""
+    parts, numbers = np.zeros(256, bool), (np.arange(256, dtype=np.uint64) + np.uint64(1)) * FINISH
+    parts[[9, 10, 11, 12, 13, 32]] = True
+    numbers = (numbers ^ numbers >> np.uint64(31)) * FACTOR
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(size, FACTOR)], dtype=np.uint64)
+    inverses = np.cumprod(np.r_[np.uint64(1), np.full(size, np.uint64(pow(int(FACTOR), -1, 1 << 64)))], dtype=np.uint64)
+    return parts, numbers ^ numbers >> np.uint64(29), powers, inverses
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes' numbers weighted by powers, a difference of running sums taken back to place 0."""
+    parts, numbers, powers, inverses = tables(2 * PIECE) if len(raw) <= 2 * PIECE else tables.__wrapped__(len(raw))
+    code = np.frombuffer(raw, np.uint8)
+    inside = np.r_[False, ~parts[code], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    sums = np.r_[np.uint64(0), np.cumsum(numbers[code] * powers[: len(code)], dtype=np.uint64)]
+    starts, ends = edges[::2], edges[1::2]
+    h = (sums[ends] - sums[starts]) * inverses[starts]
+    h = (h ^ h >> np.uint64(32)) * FINISH
+    return h ^ h >> np.uint64(29)
 
-def shingles(text: str | None, words: int, known: Hashes) -> np.ndarray:
+
+def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: lower() and split() know ASCII alone
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: lower() knows ASCII alone
     parts, at = [], 0
     while at < len(raw):
         space = SPACE.search(raw, at + PIECE)
         end = space.start() if space else len(raw)
-        found = raw[at:end].split()
-        parts.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
+        parts.append(word_hashes(raw[at:end]))
         at = end
     hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     if not len(hashes):
@@ -79,7 +93,8 @@ def shingles(text: str | None, words: int, known: Hashes) -> np.ndarray:
     for k in range(min(len(hashes), words)):
         out = out * FACTOR + hashes[k : k + n]
     out = (out ^ out >> np.uint64(32)) * FINISH
-    return np.unique(out ^ out >> np.uint64(29))
+    out = np.sort(out ^ out >> np.uint64(29))
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def least_overlap(n: Column | int, m: Column | int, percent: int):
@@ -140,18 +155,17 @@ def looked_up(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, n, x, d, tokens): size, 64 and 128 bits of each document's set, and its first shingles in the order of all."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def sets(batch: pa.RecordBatch, known: Hashes) -> Iterator[np.ndarray]:
+    def sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for text in batch.column("text"):
-            yield shingles(text.as_py(), words, known)
+            yield shingles(text.as_py(), words)
 
-    known = Hashes()
-    levels = docs.sparkSession.sparkContext.broadcast(counters(texts.select("text"), lambda batch: sets(batch, known)))
+    levels = docs.sparkSession.sparkContext.broadcast(counters(texts.select("text"), sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, known = np.frombuffer(levels.value, np.uint8), Hashes()
+        level = np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             rows = []
-            for found in sets(batch, known):
+            for found in sets(batch):
                 first = found[np.argsort(level[place(found)], kind="stable")[: len(found) - least_any(len(found), percent) + 1]]
                 digest = xxhash.xxh3_128_hexdigest(found.tobytes()) if len(found) else None
                 rows.append((len(found), digest and int(digest[:16], 16) - (1 << 63), digest, first.view(np.int64)))
@@ -192,10 +206,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     asked = docs.sparkSession.sparkContext.broadcast(counters(nodes.select("x"), of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known, seen = np.frombuffer(asked.value, np.uint8), Hashes(), set()
+        wanted, seen = np.frombuffer(asked.value, np.uint8), set()
         for batch in batches:
             for text in batch.column("text"):
-                found = shingles(text.as_py(), words, known)
+                found = shingles(text.as_py(), words)
                 digest = xxhash.xxh3_128_hexdigest(found.tobytes())
                 x = int(digest[:16], 16)
                 if len(found) and wanted[x >> 64 - COUNTERS_BITS] and digest not in seen:
