@@ -75,13 +75,6 @@ def test_overlap_thresholds():
             assert least >= jaccard_join.least_any(n, 90)
 
 
-def test_counters_order_but_do_not_decide(spark, texts, monkeypatch):
-    """With one counter for all shingles the order is by hash alone; the result is the same."""
-    monkeypatch.setattr(jaccard_join, "place", lambda h: np.zeros(len(h), np.int64))
-    got = jaccard_join.near_duplicates(documents(spark, texts[:60]), 3, 90)
-    assert Counter(tuple(r) for r in got.collect()) == linked(texts[:60], 3, 90)
-
-
 def variants_of(texts):
     counts = Counter()
     for k, t in texts:
