@@ -203,14 +203,6 @@ def box_filter(series: DataFrame, half: int, keys: list[str], name: str = "m") -
     return framed(padded, half, half, {name: lambda w: F.avg("value").over(w.rowsBetween(-half, half))}, tuple(keys)).where("t >= 0 and t < __n").drop("__n")
 
 
-def acf_table(series: DataFrame, keys: list[str], value: str, most: int) -> DataFrame:
-    """(keys, lag, acf) for lags up to `most`: sums of x(t) x(t + lag) over the sum of squares. No series has to fit into one task."""
-    ahead = framed(series, 0, most, {"__w": lambda w: F.collect_list(value).over(w.rowsBetween(0, most))}, tuple(keys))
-    each = ahead.select(*keys, F.col(value).alias("__x"), F.posexplode("__w").alias("lag", "__y")).groupBy(*keys, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("s"))
-    zero = each.where("lag = 0").select(*keys, F.col("s").alias("s0"))
-    return each.join(zero, keys).select(*keys, "lag", F.try_divide("s", "s0").alias("acf"))
-
-
 def dft_power(w: Column, n: int) -> Column:
     """Power of the bins 0 to n // 2 of an array of n values."""
     def power(k: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetseries.functions.frames import correlation, quantiles, r6, settled
-from fleetseries.operators import catalog, describe, detect, faults, models, prep, priors
+from fleetseries.operators import catalog, describe, detect, faults, models, prep, priors, spectral
 from fleetseries.operators.prep import KEYS
 from fleetseries.plans.fleet import FUSION_SQL, PAIR_RECORDS, PRIOR_SQL, channel_points, differences, head_scores
 from fleetseries.plans.queries import (
@@ -354,10 +354,29 @@ def q3(spark, d):
     return out.select(*keys, *((F.round(b, 5) + 0.0).alias(b) for b in ("low", "middle", "high")))
 
 
-@query("w9_acf_table", DETREND_SQL + " SELECT a.entity, b.t - a.t AS lag, round(sum(a.z * b.z) / any_value(e), 5) AS acf FROM det AS a JOIN det AS b ON a.entity = b.entity AND b.t - a.t BETWEEN 0 AND 30 JOIN (SELECT entity, sum(z * z) AS e FROM det GROUP BY entity) AS q ON q.entity = a.entity GROUP BY ALL", DAILY_SQL)
+@query("w9_acf_table", DETREND_SQL + " SELECT a.entity, b.t - a.t AS lag, round(sum(a.z * b.z) / any_value(e), 5) AS acf FROM det AS a JOIN (SELECT entity, sum(z * z) AS e, count(*) AS n FROM det GROUP BY entity) AS q ON q.entity = a.entity JOIN det AS b ON a.entity = b.entity AND b.t >= a.t AND b.t - a.t <= n // 2 GROUP BY ALL", DAILY_SQL)
 def w9(spark, d):
-    out = describe.acf_table(prep.detrend(daily(spark, d), ["entity"]), ["entity"], "d", 30)
-    return out.select("entity", F.col("lag").cast("long").alias("lag"), (F.round("acf", 5) + 0.0).alias("acf"))
+    out = spectral.acf_full(prep.detrend(daily(spark, d), ["entity"]), ["entity"], "d")
+    return out.select("entity", "lag", (F.round("acf", 5) + 0.0).alias("acf"))
+
+
+@query("w10_seasonal_periods", """tr AS (SELECT entity, t, value FROM series WHERE split = 'train'), ln AS (SELECT entity, regr_slope(value, t) AS m, regr_intercept(value, t) AS c FROM tr GROUP BY entity),
+fl AS (SELECT entity, t, value - m * t - c AS r FROM tr JOIN ln USING (entity)), st AS (SELECT entity, avg(r) AS a, stddev_pop(r) AS s, count(*) AS n, CAST(ceil(log2(count(*) * 8)) AS INTEGER) AS bits FROM fl GROUP BY entity),
+zz AS (SELECT fl.entity, t, n, bits, (r - a) / (s + 1e-9) AS z FROM fl JOIN st USING (entity)), en AS (SELECT entity, sum(z * z) AS e FROM zz GROUP BY entity),
+ac AS (SELECT a.entity, any_value(a.n) AS n, b.t - a.t AS lag, sum(a.z * b.z) / any_value(e) AS v FROM zz AS a JOIN zz AS b ON a.entity = b.entity AND b.t - a.t BETWEEN 30 AND a.n // 2 JOIN en ON en.entity = a.entity GROUP BY a.entity, b.t - a.t),
+pk AS (SELECT entity, lag, v FROM (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q FROM ac WINDOW w AS (PARTITION BY entity ORDER BY lag)) WHERE v > p AND v > q),
+nb AS (SELECT p.entity, p.lag, any_value(p.v) AS v, coalesce(max(CASE WHEN q.lag < p.lag AND q.v > p.v THEN q.lag END), -1) AS l, coalesce(min(CASE WHEN q.lag > p.lag AND q.v > p.v THEN q.lag END), 1099511627776) AS r FROM pk AS p JOIN ac AS q ON p.entity = q.entity GROUP BY p.entity, p.lag),
+pm AS (SELECT b.entity, b.lag, any_value(b.v) AS v, any_value(b.v) - greatest(min(CASE WHEN q.lag < b.lag AND q.lag > l THEN q.v END), min(CASE WHEN q.lag > b.lag AND q.lag < r THEN q.v END)) AS pro FROM nb AS b JOIN ac AS q ON b.entity = q.entity GROUP BY b.entity, b.lag),
+be AS (SELECT * FROM pm WHERE pro >= 1e-4 QUALIFY row_number() OVER (PARTITION BY entity ORDER BY round(pro, 12) DESC, lag) = 1),
+ks AS (SELECT entity, n, bits, unnest(range(CAST(ceil(pow(2, bits) / (n // 2)) AS BIGINT), CAST(floor(pow(2, bits) / 30) AS BIGINT) + 1)) AS k FROM st),
+pw AS (SELECT zz.entity, k, any_value(pow(2, zz.bits)) AS places, pow(sum(z * cos(2 * pi() * k * t / pow(2, zz.bits))), 2) + pow(sum(z * sin(2 * pi() * k * t / pow(2, zz.bits))), 2) AS power FROM ks JOIN zz ON zz.entity = ks.entity GROUP BY zz.entity, k),
+ff AS (SELECT entity, CAST(round_even(places / k, 0) AS BIGINT) AS period_fft, power / (sum(power) OVER (PARTITION BY entity) + 1e-12) AS share FROM pw QUALIFY row_number() OVER (PARTITION BY entity ORDER BY power DESC, k) = 1),
+al AS (SELECT st.entity, st.n, be.lag AS period_acf, be.v AS strength, period_fft, share, coalesce(abs(be.lag - period_fft) <= 0.15 * greatest(be.lag, period_fft) AND be.v >= 0.2, false) AS agree FROM st LEFT JOIN be ON be.entity = st.entity LEFT JOIN ff ON ff.entity = st.entity)
+SELECT entity, n, period_acf, round(strength, 5) AS strength, period_fft, round(share, 5) AS share, agree, CASE WHEN agree THEN period_acf END AS period FROM al""")
+def w10(spark, d):
+    train = prep.detrend(series(spark, d).where("split = 'train'").select("entity", "t", "value"), ["entity"])
+    out = spectral.seasonal_periods(train, ["entity"], "d")
+    return out.select("entity", "n", "period_acf", *((F.round(c, 5) + 0.0).alias(c) if c in ("strength", "share") else F.col(c) for c in ("strength", "period_fft", "share", "agree", "period")))
 
 
 def peaks_sql(base: str, apart: int) -> str:
