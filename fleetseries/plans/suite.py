@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import framed, settled
-from fleetseries.operators import detect, fusion, merging, models, proximity, volume
+from fleetseries.functions.frames import framed, r6, settled
+from fleetseries.operators import detect, fusion, gallery, merging, models, prep, proximity, volume
 from fleetseries.operators.prep import KEYS
 from fleetseries.plans.fleet import FUSION_SQL, HEADS, RATIO_SQL, head_scores
-from fleetseries.plans.queries import ASSIGN_SQL, PRED_SQL, RECORD_SQL, SCALED_SQL, predicted, query, read, records, rounded, scaled, scored
+from fleetseries.plans.queries import ASSIGN_SQL, HEAD_K, K, PRED_SQL, QUANTILE, RECORD_SQL, SCALED_SQL, STRIDE, WIDTH, assigned, predicted, query, read, records, rounded, scaled, scored
 from fleetseries.sources import tables
 
 BUFFER, CUTS = 8, 50
@@ -199,3 +199,47 @@ def l16(spark, d):
     """Mean, whitening matrix and condition number of each client's vectors."""
     v = tables.vectors_from_embeddings(read(spark, d, "embeddings"))
     return merging.whitening(detect.gram(v, ["client"]), ["client"])
+
+
+# -- galleries, reclustered codebooks, rescored regions --------------------------------------------------
+
+
+@query("l9_union_recluster")
+def l9(spark, d):
+    v = assigned(spark, d)
+    st = models.round_stats(v).groupBy("client", "code").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("m"))
+    book = models.first_codebook(tables.vectors_from_embeddings(read(spark, d, "embeddings")), K).select(F.col("code").alias("slot"), "c")
+    out = gallery.recluster(st.withColumn("m", F.transform("m", lambda e: e["m"])), book, 3.0)
+    return out.select(F.col("slot").cast("long").alias("slot"), F.posexplode("c").alias("dim", "x"), "n").select("slot", F.col("dim").cast("long").alias("dim"), r6("x").alias("x"), "n")
+
+
+@query("l19_gallery_error", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS id, b.vec_id AS nearest, list_distance(a.v, b.v) AS dd FROM v AS a JOIN v AS b ON a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0)
+SELECT id, nearest, round(dd / sqrt(64), 6) AS rmse FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY dd, nearest) = 1""", "")
+def l19(spark, d):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return rounded(gallery.nearest_in_gallery(v.where("id % 20 = 0"), v.where("id % 20 <> 0")).select("id", "nearest", "rmse"), "rmse")
+
+
+@query("s8_region_rescore", f"""wi AS (SELECT a.entity, a.t AS w, max(b.label) AS y, max(b.score) AS top, any_value(a.thr) AS thr FROM pred AS a JOIN pred AS b ON a.entity = b.entity AND b.t BETWEEN a.t AND a.t + {WIDTH - 1} WHERE a.t % {STRIDE} = 0 GROUP BY a.entity, a.t HAVING count(*) = {WIDTH}),
+hw AS (SELECT * FROM wi WHERE y = 1 AND top > thr), vr AS (SELECT unnest([0.05, 0.5]) AS part),
+nw AS (SELECT p.entity, part, p.t, any_value(p.s1) - count(w) * part * any_value(p.s0) AS raw FROM pred AS p CROSS JOIN vr LEFT JOIN hw ON hw.entity = p.entity AND p.t BETWEEN w AND w + {WIDTH - 1} GROUP BY p.entity, part, p.t),
+fi AS (SELECT *, 0.5 * (raw + avg(raw) OVER (PARTITION BY entity, part ORDER BY t ROWS BETWEEN {WIDTH // 2} PRECEDING AND {WIDTH // 2 - 1} FOLLOWING)) AS score FROM nw),
+tev AS (SELECT DISTINCT segs.entity, a, b FROM segs JOIN hw ON hw.entity = segs.entity AND w <= b AND w + {WIDTH - 1} >= a),
+fl AS (SELECT part, CASE WHEN max(score) < any_value(thr.thr) THEN 1.0 ELSE 0.0 END AS ok FROM tev JOIN fi ON fi.entity = tev.entity AND t BETWEEN a AND b JOIN thr ON thr.entity = tev.entity GROUP BY tev.entity, a, part)
+SELECT CAST(part AS DOUBLE) AS part, round(avg(ok), 6) AS validity, round(stddev_pop(ok), 6) AS spread, count(*) AS n_events FROM fl GROUP BY part""", PRED_SQL)
+def s8(spark, d):
+    heads = detect.ma_centred(scaled(spark, d), HEAD_K)
+    own = ["entity", "channel"]
+    kept = settled(detect.assemble(heads, WIDTH, STRIDE).where("split = 'test'").select("entity", "cluster", "split", "channel", "t", "label", F.col("score").alias("raw")))
+    final = detect.impulse(kept.withColumn("score", F.col("raw")), WIDTH)
+    points = settled(detect.predict(final, detect.quantile_threshold(scored(spark, d).where("split = 'train'"), own, QUANTILE), own))
+    windows = prep.sliding_windows(points.withColumn("value", F.struct("score", "label")), WIDTH, STRIDE).join(points.groupBy(*own).agg(F.max("thr").alias("thr")), own)
+    top = F.array_max(F.transform("w", lambda e: e["score"]))
+    hit = windows.where((F.array_max(F.transform("w", lambda e: e["label"])) == 1) & (top > F.col("thr"))).select(*own, "w_start")
+    plain = prep.sliding_windows(heads.where("split = 'test'").withColumn("value", F.col("score")), WIDTH, STRIDE).join(hit, [*own, "w_start"])
+    parts = F.explode(F.array(F.lit(0.05), F.lit(0.5))).alias("part")
+    deltas = settled(plain.select(*own, "w_start", "w", parts).select(*own, "w_start", "part", F.transform("w", lambda x: -F.col("part") * x).alias("d")))
+    events = prep.segments(points, keys=["entity"]).select("entity", "start", "stop")
+    thr = points.groupBy("entity").agg(F.max("thr").alias("thr"))
+    return rounded(gallery.region_validity(kept, deltas, events, thr, WIDTH, ["entity"], ["part"]), "validity", "spread")
