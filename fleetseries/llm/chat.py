@@ -1,8 +1,8 @@
 """Chat formatting by perspective rotation, with DataFrame functions alone.
 
 For every participant of a conversation the dialogue is rendered once with that speaker as the assistant and all
-others as named users; system turns stay system turns. The mask lists the stretches (code points, end exclusive)
-that the assistant says, which are those to train on.
+others as named users; system turns stay system turns. The mask lists the stretches (code points of the whole
+dialogue, end exclusive) that the assistant says, which are those to train on.
 
 The rows of a conversation, ordered by turn, role and text, come in parts of PART_ROWS rows, which join by part
 number; a conversation of up to PART_ROWS rows is part 0 alone. A part is bounded by rows, whatever turn numbers they
@@ -17,7 +17,7 @@ with system turns alone has no participant and no rows; an empty table gives no
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,8 +49,29 @@ def numbered(said: DataFrame, part_rows: int) -> DataFrame:
     return placed.select("conv_id", "turn", "role", "text", part.alias("part"), (F.col("__at") - part * part_rows).alias("n"))
 
 
+def longer_head(speaker: Column) -> Column:
+    """How much longer another user's head is than the assistant's."""
+    return F.length(F.concat(F.lit(USER), speaker)) - len(SELF)
+
+
+def part_starts(lines: DataFrame, said: DataFrame) -> DataFrame:
+    """(__c, __p, speaker, part_start): where each part begins in the whole dialogue as each speaker's side has it. A row a part and speaker, without texts."""
+    speakers = said.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("__c"), F.col("role").alias("speaker")).distinct()
+    totals = lines.groupBy("conv_id", "part").agg(F.sum(F.length("line")).alias("__all"))
+    own = lines.groupBy(F.col("conv_id").alias("__oc"), F.col("part").alias("__op"), F.col("role").alias("__or")).agg(F.count("*").alias("__own"))
+    grid = totals.join(speakers, F.col("conv_id").eqNullSafe(F.col("__c")))
+    met = grid.join(own, F.col("conv_id").eqNullSafe(F.col("__oc")) & (F.col("part") == F.col("__op")) & (F.col("speaker") == F.col("__or")), "left")
+    long = F.col("__all") - F.coalesce("__own", F.lit(0)) * longer_head(F.col("speaker"))
+    earlier = W.partitionBy("__c", "speaker").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    return met.select("__c", F.col("part").alias("__p"), "speaker", F.coalesce(F.sum(long).over(earlier), F.lit(0)).cast("long").alias("part_start"))
+
+
 def rotate(conversations: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """(conv_id, speaker, part, n_turns, text, mask): each dialogue from each participant's side."""
+    """(conv_id, speaker, part, part_start, n_turns, text, mask): each dialogue from each participant's side.
+
+    A dialogue's parts, one after the other, are its whole text; masks count from the start of that, so a dialogue of
+    any length is rendered as one of a single part is. part_start is where a part's text begins there.
+    """
     said = conversations.select(
         "conv_id", F.coalesce("turn", F.lit(0)).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -60,18 +81,18 @@ def rotate(conversations: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     before = W.partitionBy("conv_id", "part").orderBy("n").rowsBetween(W.unboundedPreceding, -1)  # PART_ROWS rows at most
     lines = lines.withColumn("line", others).withColumn("at", F.coalesce(F.sum(F.length("line")).over(before), F.lit(0)))
     parts = lines.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("n", "at", "role", "text", "line"))).alias("turns"))
-    speakers = said.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("__c"), F.col("role").alias("speaker")).distinct()
-    both = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("__c")))
+    starts = part_starts(lines, said)
+    both = parts.join(starts, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("part") == F.col("__p")))
     own = F.filter("turns", lambda x: x["role"] == F.col("speaker"))
-    longer = F.length(F.concat(F.lit(USER), "speaker")) - len(SELF)  # than the assistant's head is another user's
+    longer = longer_head(F.col("speaker"))
 
     def span(x, k):
-        start = x["at"] - k * longer + len(START + SELF) + 1
+        start = F.col("part_start") + x["at"] - k * longer + len(START + SELF) + 1
         return F.concat_ws(":", start, start + F.length(x["text"]) + len(END))
 
     mine = lambda x: F.concat(F.lit(f"{START}{SELF}\n"), x["text"], F.lit(END + "\n"))
     return both.select(
-        "conv_id", "speaker", "part",
+        "conv_id", "speaker", "part", "part_start",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda x: F.when(x["role"] == F.col("speaker"), mine(x)).otherwise(x["line"])), "").alias("text"),
         F.array_join(F.transform(own, span), ",").alias("mask"),
@@ -90,9 +111,9 @@ r AS (
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
   WINDOW w AS (PARTITION BY t.conv_id, p.speaker, t.part ORDER BY t.turn, t.role, t.text)),
 o AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY k
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker ORDER BY part, k
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r)
-SELECT conv_id, speaker, part, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+SELECT conv_id, speaker, part, CAST(min(pos) AS BIGINT) AS part_start, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
        coalesce(string_agg(CASE WHEN role = speaker THEN CAST(CAST(pos + length(head) AS BIGINT) AS VARCHAR) || ':' ||
                   CAST(CAST(pos + length(head) + length(body) AS BIGINT) AS VARCHAR) END, ',' ORDER BY k), '') AS mask
 FROM o GROUP BY conv_id, speaker, part

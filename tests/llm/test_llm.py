@@ -372,16 +372,18 @@ def test_chat_parts_are_bounded_by_rows_and_equal_brute_force(spark):
     for conv in (None, 5, 6):
         said = sorted((t or 0, r or "unknown", x or "") for c, t, r, x, _ in rows if c == conv)
         for speaker in {r for _, r, _ in said} - {"system"}:
+            whole = 0
             for part in range(0, len(said), 10):
                 text, mask = "", []
                 for _, role, x in said[part : part + 10]:
                     text += f"<|im_start|>{'assistant' if role == speaker else role if role == 'system' else 'user name=' + role}\n"
                     if role == speaker:
-                        mask.append(f"{len(text)}:{len(text + x) + 10}")
+                        mask.append(f"{whole + len(text)}:{whole + len(text + x) + 10}")
                     text += x + "<|im_end|>\n"
-                want.append((conv, speaker, part // 10, len(said[part : part + 10]), text, ",".join(mask)))
+                want.append((conv, speaker, part // 10, whole, len(said[part : part + 10]), text, ",".join(mask)))
+                whole += len(text)
     got = chat.rotate(table, part_rows=10)
-    assert rows_of(got, "conv_id", "speaker", "part", "n_turns", "text", "mask") == sorted(want, key=str)
+    assert rows_of(got, "conv_id", "speaker", "part", "part_start", "n_turns", "text", "mask") == sorted(want, key=str)
     assert chat.rotate(table.limit(0)).count() == 0
 
 
