@@ -46,6 +46,8 @@ SHORT = 32
 #: Members of a long list that all the others are compared with first.
 CENTRES = 4
 COUNTERS_BITS, CHUNK_BITS = 22, 16
+#: Shingles of a set, about, in one part of it.
+PART = 2048
 #: Bytes of a text that are cut into words at once.
 PIECE = 1 << 17
 SPACE = re.compile(rb"[ \t-\r]")
@@ -179,25 +181,42 @@ def looked_up(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def merged(lists: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from (x, n, long_lists, lists): those that the heap merge of x's short lists retains."""
+    """(a, b, n) from (x, n, long_lists, lists): those that the heap merge of x's short lists retains; n is the larger size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for row in batch.to_pylist():
-                for (other, m, spare), times in groupby(merge(*([tuple(e.values()) for e in one] for one in row["lists"]))):
-                    if other > row["x"] and 100 * min(m, row["n"]) >= percent * max(m, row["n"]):
-                        aside = max(least_any(m, percent), least_any(row["n"], percent)) - 1 + min(spare, row["long_lists"])
-                        if sum(1 for _ in times) + aside >= least_overlap(row["n"], m, percent):
-                            a.append(row["x"])
-                            b.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return lists.mapInArrow(run, "a long, b long")
-
-
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(x, d, held): the whole sets of the classes in nodes(x). Other classes are dropped before the shuffle where counters of x tell them apart."""
+            out: list[tuple[int, int, int]] = []
+            own = zip(*(batch.column(c).to_pylist() for c in ("x", "n", "long_lists")), batch.column("lists"), strict=True)
+            for x, n, spare, found in own:
+                flat = found.values.flatten()
+                ends = found.values.offsets.to_numpy() - found.values.offsets[0].as_py()
+                others, sizes, spares = (flat.field(k).to_numpy().tolist() for k in range(3))
+                heads = [zip(others[a:b], sizes[a:b], spares[a:b], strict=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                for (other, m, theirs), times in groupby(merge(*heads)):
+                    if other > x and 100 * min(m, n) >= percent * max(m, n):
+                        aside = max(least_any(m, percent), least_any(n, percent)) - 1 + min(theirs, spare)
+                        if sum(1 for _ in times) + aside >= least_overlap(n, m, percent):
+                            out.append((x, other, max(n, m)))
+            a, b, most = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, most)], names=["a", "b", "n"])
+
+    return lists.mapInArrow(run, "a long, b long, n long")
+
+
+def split_bits(n: Column | int):
+    """Into 2^this ranges of the hash a set of n shingles is cut, PART or so each."""
+    if isinstance(n, int):
+        return ((n - 1) // PART).bit_length()
+    q = F.floor((n - 1) / PART)
+    return F.when(q <= 0, F.lit(0)).otherwise(F.length(F.bin(q))).cast("int")
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(x, d, n, bits, part, held): the sets of the classes in nodes(x), in parts by range of the hash, so that no row is large.
+
+    A set that may link with one of more ranges is there in those too. Other classes are dropped before the shuffle
+    where counters of x tell them apart.
+    """
 
     def of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for x in batch.column(0).to_numpy(zero_copy_only=False):
@@ -210,32 +229,42 @@ def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for text in batch.column("text"):
                 found = shingles(text.as_py(), words)
-                digest = xxhash.xxh3_128_hexdigest(found.tobytes())
+                digest, n = xxhash.xxh3_128_hexdigest(found.tobytes()), len(found)
                 x = int(digest[:16], 16)
-                if len(found) and wanted[x >> 64 - COUNTERS_BITS] and digest not in seen:
+                if n and wanted[x >> 64 - COUNTERS_BITS] and digest not in seen:
                     seen.add(digest)
-                    yield pa.RecordBatch.from_arrays([pa.array([x - (1 << 63)]), pa.array([digest]), pa.array([found.tobytes()], pa.binary())], names=["x", "d", "held"])
+                    for bits in sorted({split_bits(n), split_bits(100 * n // percent)}):
+                        ends = np.searchsorted(found, np.array([k << 64 - bits for k in range(1, 1 << bits)], np.uint64)).tolist() if bits else []
+                        parts = [(k, found[a:b].tobytes()) for k, (a, b) in enumerate(zip([0, *ends], [*ends, n], strict=True)) if b > a]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([x - (1 << 63)] * len(parts)), pa.array([digest] * len(parts)), pa.array([n] * len(parts), pa.int64()), pa.array([bits] * len(parts), pa.int32()),
+                             pa.array([k for k, _ in parts], pa.int64()), pa.array([h for _, h in parts], pa.binary())],
+                            names=["x", "d", "n", "bits", "part", "held"],
+                        )
 
-    made = docs.select("text").mapInArrow(run, "x long, d string, held binary")
-    return cut(made.join(nodes.select("x"), "x", "left_semi").dropDuplicates(["d"]), "jaccard-sets")
+    made = docs.select("text").mapInArrow(run, "x long, d string, n long, bits int, part long, held binary")
+    return cut(made.join(nodes.select("x"), "x", "left_semi").dropDuplicates(["d", "bits", "part"]), "jaccard-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of classes, by 128 bits, whose sets are as similar as asked."""
+    """(a, b): the pairs of classes, by 128 bits, whose sets are as similar as asked. pairs: a, b, n (the larger size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            both = []
             for one, two in zip(batch.column("held_a"), batch.column("held_b"), strict=True):
                 p, q = sorted((np.frombuffer(one.as_py(), np.uint64), np.frombuffer(two.as_py(), np.uint64)), key=len)
                 at = np.searchsorted(q, p)
-                both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(both, pa.int64())], names=["a", "b", "n_a", "n_b", "both"])
 
-    sides = [sets.select(F.col("x").alias(f"x{s}"), F.col("d").alias(s), F.col("held").alias(f"held_{s}")) for s in ("a", "b")]
-    met = pairs.select(F.col("a").alias("xa"), F.col("b").alias("xb")).join(sides[0], "xa").join(sides[1], "xb")
-    return met.select("a", "b", "held_a", "held_b").mapInArrow(run, "a string, b string")
+    sides = [sets.select(F.col("x").alias(f"x{s}"), "bits", "part", F.col("d").alias(s), F.col("n").alias(f"n_{s}"), F.col("held").alias(f"held_{s}")) for s in ("a", "b")]
+    asked = pairs.select(F.col("a").alias("xa"), F.col("b").alias("xb"), split_bits(F.col("n")).alias("bits"))
+    parts = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.col("bits")).cast("long") - 1)))
+    met = parts.join(sides[0], ["xa", "bits", "part"]).join(sides[1], ["xb", "bits", "part"])
+    probed = met.select("a", "b", "n_a", "n_b", "held_a", "held_b").mapInArrow(run, "a string, b string, n_a long, n_b long, both long")
+    sums = probed.groupBy("a", "b", "n_a", "n_b").agg(F.sum("both").alias("both"))
+    return sums.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 def could_link(percent: int, n: str, m: str) -> Column:
@@ -258,15 +287,15 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         long.join(earliest(long), "token")
         .select("x", "n", F.explode("centres").alias("c"))
         .where((F.col("x") != F.col("c.x")) & could_link(percent, "n", "c.n"))
-        .select(F.least("x", "c.x").alias("a"), F.greatest("x", "c.x").alias("b"))
+        .select(F.least("x", "c.x").alias("a"), F.greatest("x", "c.x").alias("b"), F.greatest("n", "c.n").alias("n"))
     )
     pairs = cut(pairs.unionByName(stars.distinct()).distinct(), "jaccard-candidates")
     nodes = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).unionByName(long.select("x")).distinct()
-    sets = sets_of(docs, nodes, words)
+    sets = sets_of(docs, nodes, words, percent)
     first = cut(verified(pairs, sets, percent), "jaccard-links")
 
     roots = cut(components(first), "jaccard-first-roots")
-    known = sets.select("x", "d").join(roots, F.col("d") == F.col("node"), "left").select("x", F.coalesce("root", "d").alias("root"))
+    known = sets.select("x", "d").distinct().join(roots, F.col("d") == F.col("node"), "left").select("x", F.coalesce("root", "d").alias("root"))
     placed = cut(long.join(known, "x"), "jaccard-long")
     bulk = placed.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("bulk"))
     apart = placed.join(bulk, "token").where(F.col("root") != F.col("bulk"))
@@ -276,7 +305,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         apart.join(other, "token")
         .where((F.col("root") != F.col("root2")) & could_link(percent, "n", "n2"))
         .where(room * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
-        .select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b"))
+        .select(F.least("x", "x2").alias("a"), F.greatest("x", "x2").alias("b"), F.greatest("n", "n2").alias("n"))
         .distinct()
     )
     stars_of_roots = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
