@@ -68,6 +68,40 @@ def running_sum(
     return joined.withColumn(name, F.col("__offset") + F.sum("__v").over(within)).drop("__v", "__chunk", "__offset")
 
 
+def beside(df: DataFrame, keys: list[str], at: str, before: dict[str, str], after: dict[str, str], step: float) -> DataFrame:
+    """df with columns of the row before and of the row after, by key in the order of `at` (new name: column).
+
+    Rows meet in stretches of `step`; a stretch's first and last row find their neighbours in a table of a row a
+    stretch, so no task holds all rows of a key.
+    """
+    dealt = df.withColumn("__b", F.floor(F.col(at) / step))
+    own = W.partitionBy(*keys, "__b").orderBy(at)
+    near = dealt.withColumns({n: F.lag(c).over(own) for n, c in before.items()} | {n: F.lead(c).over(own) for n, c in after.items()})
+    near = near.withColumns({"__f": F.row_number().over(own) == 1, "__l": F.lead(F.lit(1)).over(own).isNull()})
+    tips = dealt.groupBy(*keys, "__b").agg(
+        *(F.max_by(c, at).alias(f"__h_{n}") for n, c in before.items()), *(F.min_by(c, at).alias(f"__t_{n}") for n, c in after.items())
+    )
+    line = W.partitionBy(*keys).orderBy("__b")
+    named = tips.select(*keys, "__b", *(F.lag(f"__h_{n}").over(line).alias(f"__h_{n}") for n in before), *(F.lead(f"__t_{n}").over(line).alias(f"__t_{n}") for n in after))
+    both = near.join(named, [*keys, "__b"])
+    out = {n: F.when(F.col("__f"), F.col(f"__h_{n}")).otherwise(F.col(n)) for n in before} | {n: F.when(F.col("__l"), F.col(f"__t_{n}")).otherwise(F.col(n)) for n in after}
+    return both.withColumns(out).select(*df.columns, *before, *after)
+
+
+def carried(df: DataFrame, keys: list[str], value: str, before: str, after: str, t: str = "t", step: int = CHUNK) -> DataFrame:
+    """df with two structs (t, value): the nearest known value at or before a row, and at or after it, however far; null where there is none.
+
+    Rows meet in stretches of `step`; what a stretch lacks comes from a table of a row a stretch.
+    """
+    dealt = df.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("value")))).withColumn("__b", F.floor(F.col(t) / step))
+    own = W.partitionBy(*keys, "__b").orderBy(t)
+    line = W.partitionBy(*keys).orderBy("__b")
+    tips = dealt.groupBy(*keys, "__b").agg(F.max("__k").alias("__h"), F.min("__k").alias("__t"))
+    far = tips.select(*keys, "__b", F.last("__h", True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("__far_p"), F.first("__t", True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("__far_n"))
+    near = dealt.withColumns({before: F.last("__k", True).over(own.rowsBetween(W.unboundedPreceding, 0)), after: F.first("__k", True).over(own.rowsBetween(0, W.unboundedFollowing))})
+    return near.join(far, [*keys, "__b"]).withColumns({before: F.coalesce(before, "__far_p"), after: F.coalesce(after, "__far_n")}).select(*df.columns, before, after)
+
+
 def dense_index(df: DataFrame, keys: tuple[str, ...], bucket: Column, order: list[str], name: str) -> DataFrame:
     """df with a 0-based index by key in the given order. bucket must rise with the order; it deals a key to many tasks."""
     dealt = df.withColumn("__bucket", bucket)

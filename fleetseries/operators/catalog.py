@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import bankers, dense_index, quantiles, running_sum, runs
+from fleetseries.functions.frames import bankers, beside, dense_index, quantiles, running_sum, runs
 from fleetseries.operators.faults import normal, uniform
 from fleetseries.operators.prep import KEYS, average_rank, labels_from_segments
 
@@ -265,6 +265,26 @@ def combine_nll(nll: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "best", "mean", (F.col("best") - F.log("a")).alias("mixture"), (F.col("best") - F.log("b")).alias("weighted"))
 
 
+def gated_nll(tokens: DataFrame, experts: DataFrame, keys: list[str]) -> DataFrame:
+    """tokens (keys, pos, token) with nll of mixtures of experts(client, token, logq, nll, logn): gated by volume, by context and by target.
+
+    An expert's log weight is logn; logn and the log occupancies logq of all tokens of the window (keys); logn less its
+    nll of the very token (a foil: it looks at what it predicts). The mixture is -log sum exp(weight - nll) + log sum
+    exp(weight), each sum with its greatest exponent taken out. Tokens that an expert has no row for are not its.
+    """
+    met = tokens.select(*keys, "pos", "token").join(experts, "token")
+    context = met.groupBy(*keys, "client").agg(F.sum("logq").alias("__q"))
+    rows = met.join(context, [*keys, "client"]).groupBy(*keys, "pos", "token").agg(F.collect_list(F.struct("logn", "nll", (F.col("logn") + F.col("__q")).alias("context"))).alias("__e"))
+
+    def log_sum(weight) -> Column:
+        exponents = F.transform("__e", weight)
+        return F.array_max(exponents) + F.log(F.aggregate(F.transform(exponents, lambda x: F.exp(x - F.array_max(exponents))), F.lit(0.0), lambda a, x: a + x))
+
+    mixed = lambda weight: -log_sum(lambda e: weight(e) - e["nll"]) + log_sum(weight)
+    gates = {"volume_gate": lambda e: e["logn"], "context_gate": lambda e: e["context"], "target_gate": lambda e: e["logn"] - e["nll"]}
+    return rows.select(*keys, "pos", "token", *(mixed(w).alias(name) for name, w in gates.items()))
+
+
 def choose_source(calibration: DataFrame, rest: DataFrame) -> DataFrame:
     """By target: the source that is best on the calibration slice, its value on the rest against the mean and the best there, and the share of that gap."""
     pick = calibration.groupBy("target").agg(F.min_by("source", F.struct(-F.col("value"), F.col("source"))).alias("picked"))
@@ -360,9 +380,9 @@ def affiliation(truth: DataFrame, found: DataFrame, lengths: DataFrame, keys: li
     Zones without a found part count 0 for recall and not for precision. Keys without events on either side have no row.
     Zones meet what was found in buckets of the time axis; a pair is kept in the first bucket that both share.
     """
-    w = W.partitionBy(*keys).orderBy("a")
-    zones = truth.select(*keys, F.col("start").cast("double").alias("a"), F.col("stop").cast("double").alias("b")).join(lengths, keys).select(
-        *keys, "a", "b", F.coalesce((F.lag("b").over(w) + F.col("a")) / 2, F.lit(0.0)).alias("e0"), F.coalesce((F.col("b") + F.lead("a").over(w)) / 2, F.col("n").cast("double")).alias("e1")
+    ends = truth.select(*keys, F.col("start").cast("double").alias("a"), F.col("stop").cast("double").alias("b"))
+    zones = beside(ends, keys, "a", {"__p": "b"}, {"__n": "a"}, step).join(lengths, keys).select(
+        *keys, "a", "b", F.coalesce((F.col("__p") + F.col("a")) / 2, F.lit(0.0)).alias("e0"), F.coalesce((F.col("b") + F.col("__n")) / 2, F.col("n").cast("double")).alias("e1")
     )
     spread = lambda df, lo, hi: df.withColumn("__b", F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step))))
     z = spread(zones, F.col("e0"), F.col("e1"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import correlation, framed, settled
+from fleetseries.functions.frames import CHUNK, carried, correlation, framed, settled
 from fleetseries.operators.models import assign, square_distance
 
 
@@ -170,15 +170,12 @@ def book_distance(books: DataFrame) -> DataFrame:
 # -- shapes and spectra --------------------------------------------------------------------------------
 
 
-def interpolate(series: DataFrame, keys: list[str], most: int = 1024) -> DataFrame:
-    """series with filled: nulls on the line between the values next to them (up to `most` steps away), ends held."""
-    known = F.when(F.col("value").isNotNull(), F.struct("t", "value"))
-    both = framed(series.withColumn("__k", known), most, most, {
-        "__p": lambda w: F.last("__k", True).over(w.rowsBetween(-most, 0)), "__n": lambda w: F.first("__k", True).over(w.rowsBetween(0, most)),
-    }, tuple(keys))
+def interpolate(series: DataFrame, keys: list[str], step: int = CHUNK) -> DataFrame:
+    """series with filled: nulls on the line between the nearest values on both sides, ends held; null where a series has no value."""
+    both = carried(series, keys, "value", "__p", "__n", step=step)
     p, n = F.col("__p"), F.col("__n")
     line = p["value"] + (n["value"] - p["value"]) * F.try_divide(F.col("t") - p["t"], n["t"] - p["t"])
-    return both.withColumn("filled", F.coalesce("value", line, p["value"], n["value"])).drop("__k", "__p", "__n")
+    return both.withColumn("filled", F.coalesce("value", line, p["value"], n["value"])).drop("__p", "__n")
 
 
 def resample(series: DataFrame, keys: list[str], points: int) -> DataFrame:

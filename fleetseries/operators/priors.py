@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetseries.functions.frames import dense_index, settled
+from fleetseries.operators.faults import uniform
+
 
 def in_context(tokens: DataFrame) -> DataFrame:
     """tokens with the two before them in their window: b, and a before b; null where there are none."""
@@ -129,6 +132,69 @@ def reduce_grid(grid: DataFrame, clusters: DataFrame) -> DataFrame:
     })
 
 
+def cold_start(tokens: DataFrame, clusters: DataFrame, k: int, fractions: tuple[float, ...] = (0.1, 0.25, 0.5), lam: float = 0.3) -> DataFrame:
+    """(entity, fraction, windows, local, assisted, full, neighbour, routed): what a young entity's prior is worth, alone and with help.
+
+    tokens: entity, split, win, pos, token; clusters: entity, cluster. The entity's training windows are ranked by a
+    hash, so the windows of a smaller fraction are among those of a larger one: each is counted once, at the smallest
+    fraction that holds it, and running sums over fractions give the rest. At least one window is kept.
+
+    Figures are mean negative log-probabilities of the test tokens: under Laplace counts by position of those windows
+    (local) and of all (full); mixed, with the weight lam, with the counts of all other entities of the cluster
+    (assisted), or with those of its neighbour alone (routed): the other entity of the cluster whose whole counts give
+    the windows kept the highest mean log-probability (ties by name). An entity alone in its cluster has no help: the
+    three figures are those of local, the neighbour null. Entities without test or training tokens have no row.
+    """
+    train = settled(tokens.where("split = 'train'").join(clusters.select("entity", "cluster").distinct(), "entity"))
+    windows = train.select("entity", "win").distinct().withColumn("u", uniform(F.concat_ws("|", "entity", "win")))
+    placed = dense_index(windows, ("entity",), F.floor(F.col("u") * 256), ["u", "win"], "place")
+    sizes = windows.groupBy("entity").agg(F.count("*").alias("all"))
+    kept = lambda f: F.greatest(F.lit(1), F.bround(F.col("all") * f, 0)).cast("long")
+    level = F.coalesce(*(F.when(F.col("place") < kept(f), i) for i, f in enumerate(fractions)), F.lit(len(fractions)))
+    dealt = train.join(placed.join(sizes, "entity").select("entity", "win", level.alias("level")), ["entity", "win"])
+    at = settled(dealt.groupBy("entity", "cluster", "level", "pos", "token").agg(F.count("*").alias("n")))
+
+    later = F.explode(F.sequence(F.col("level"), F.lit(len(fractions)))).alias("f")  # the last is the whole
+    own = settled(at.select("entity", "cluster", "pos", "token", "n", later).groupBy("entity", "cluster", "f", "pos", "token").agg(F.sum("n").alias("n")))
+    whole = own.where(F.col("f") == len(fractions)).drop("f")
+    rate = lambda n, total: (F.coalesce(n, F.lit(0)) + 1) / (F.coalesce(total, F.lit(0)) + k)
+    sums = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("total"))
+
+    # the neighbour: the source, of the same cluster, under whose whole counts the kept windows are likeliest
+    source = whole.join(sums(whole, "entity", "pos"), ["entity", "pos"]).select(F.col("entity").alias("source"), "cluster", "pos", "token", F.log(rate(F.col("n"), F.col("total"))).alias("seen"))
+    unseen = sums(whole, "entity", "cluster", "pos").select(F.col("entity").alias("source"), "cluster", "pos", F.log(1 / (F.col("total") + k)).alias("unseen"))
+    base = own.groupBy("entity", "cluster", "f", "pos").agg(F.sum("n").alias("n")).join(unseen, ["cluster", "pos"]).where("source <> entity").groupBy("entity", "f", "source").agg(F.sum(F.col("n") * F.col("unseen")).alias("base"))
+    more = own.join(source, ["cluster", "pos", "token"]).where("source <> entity").join(unseen, ["source", "cluster", "pos"]).groupBy("entity", "f", "source").agg(F.sum(F.col("n") * (F.col("seen") - F.col("unseen"))).alias("more"))
+    likely = base.join(more, ["entity", "f", "source"], "left").withColumn("fit", F.round(F.col("base") + F.coalesce("more", F.lit(0.0)), 9))
+    neighbour = likely.groupBy("entity", "f").agg(F.min_by("source", F.struct(-F.col("fit"), F.col("source"))).alias("neighbour"))
+
+    test = tokens.where("split = 'test'").groupBy("entity", "pos", "token").agg(F.count("*").alias("m"))
+    grid = test.join(own.select("entity", "cluster", "f").distinct(), "entity").join(neighbour, ["entity", "f"], "left")
+    pool = whole.groupBy("cluster", "pos", "token").agg(F.sum("n").alias("n"))
+    members = clusters.groupBy("cluster").agg(F.count_distinct("entity").alias("members"))
+    other = lambda df, name, keys: df.select(*keys, F.col("n").alias(f"n_{name}"))
+    met = (
+        grid.join(other(own, "own", ["entity", "f", "pos", "token"]), ["entity", "f", "pos", "token"], "left").join(sums(own, "entity", "f", "pos").withColumnRenamed("total", "t_own"), ["entity", "f", "pos"], "left")
+        .join(other(whole, "all", ["entity", "pos", "token"]), ["entity", "pos", "token"], "left").join(sums(whole, "entity", "pos").withColumnRenamed("total", "t_all"), ["entity", "pos"], "left")
+        .join(other(pool, "pool", ["cluster", "pos", "token"]), ["cluster", "pos", "token"], "left").join(sums(pool, "cluster", "pos").withColumnRenamed("total", "t_pool"), ["cluster", "pos"], "left")
+        .join(other(whole.withColumnRenamed("entity", "neighbour"), "near", ["neighbour", "pos", "token"]), ["neighbour", "pos", "token"], "left")
+        .join(sums(whole.withColumnRenamed("entity", "neighbour"), "neighbour", "pos").withColumnRenamed("total", "t_near"), ["neighbour", "pos"], "left")
+        .join(members, "cluster")
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    local = rate(F.col("n_own"), F.col("t_own"))
+    others = rate(zero("n_pool") - zero("n_all"), zero("t_pool") - zero("t_all"))
+    mixed = lambda p: F.when(F.col("members") > 1, (1 - lam) * local + lam * p).otherwise(local)
+    mean = lambda p, name: (-F.sum(F.col("m") * F.log(p)) / F.sum("m")).alias(name)
+    out = met.groupBy("entity", "f", "neighbour").agg(
+        mean(local, "local"), mean(mixed(others), "assisted"), mean(rate(F.col("n_all"), F.col("t_all")), "full"), mean(mixed(rate(F.col("n_near"), F.col("t_near"))), "routed")
+    )
+    named = F.element_at(F.array(*map(F.lit, fractions)), F.col("f") + 1)
+    return out.where(F.col("f") < len(fractions)).join(sizes, "entity").select(
+        "entity", named.alias("fraction"), F.greatest(F.lit(1), F.bround(F.col("all") * named, 0)).cast("long").alias("windows"), "local", "assisted", "full", "neighbour", "routed"
+    )
+
+
 def drift(params: DataFrame) -> DataFrame:
     """By entity: distance of its parameter vector from the weighted centre of all, and that over the centre's norm."""
     centre = params.groupBy("idx").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("m"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetseries.functions.frames import running_sum, settled, value_sums
-from fleetseries.operators import catalog, detect
+from fleetseries.operators import catalog, detect, proximity
 from fleetseries.operators.prep import segments
 
 # -- volume under the surface --------------------------------------------------------------------------
@@ -128,3 +128,34 @@ def report(scores: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFra
     long = lambda df, made: df.select(*own, "strategy", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in made.items()))).alias("m"))
     both = long(sums, rates).unionByName(long(free, {c: F.col(c) for c in ("auroc", "auprc", "best_f1")}))
     return both.select(*own, "strategy", "m.metric", "m.value")
+
+
+def suite(points: DataFrame, thresholds: DataFrame, keys: list[str], buffer: int, cuts: int = 250) -> DataFrame:
+    """(keys, strategy, metric, value): what the report leaves out, as more rows of it.
+
+    Free of a threshold: volumes under both surfaces and the proximity-aware area. For each strategy's threshold: event
+    precision, recall and F1, mean delay and segments found, affiliation precision, recall and F1, proximity-aware F1.
+    points: the series keys, t, label, score; thresholds: keys, strategy, thr. The flags of all strategies are one table
+    with the strategy as a key, so each metric is one plan, however many strategies there are.
+    """
+    by = [*keys, "strategy"]
+    points = settled(points)
+    flags = settled(points.join(thresholds.select(*by, F.col("thr").alias("__thr")), keys).withColumn("pred", (F.col("score") > F.col("__thr")).cast("int")))
+    truth, found = settled(segments(flags, keys=by)), settled(segments(flags, F.col("pred") == 1, by))
+    half_open = lambda df: df.select(*by, "start", (F.col("stop") + 1).alias("stop"))
+    delays = detect.runs(flags, F.col("label") == 1, tuple(by)).groupBy(*by, "run_id")
+    hit = F.min(F.when(F.col("pred") == 1, F.col("t"))) - F.min("t")
+    delay = delays.agg(F.coalesce(hit, F.count("*")).alias("delay"), hit.isNotNull().cast("int").alias("hit")).groupBy(*by).agg(F.avg("delay").alias("mean_delay"), F.sum("hit").alias("segments_found"))
+    lengths = flags.groupBy(*by).agg(F.count("*").alias("n"))
+    long = lambda df, own, made: df.select(*own, F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value")) for n, c in made.items()))).alias("m")).select(*own, "m.metric", "m.value")  # noqa: E731, E501
+    free = surface(points, keys, buffer, cuts).join(proximity.pate(points, keys, buffer, buffer, cuts), keys, "full").withColumn("strategy", F.lit("free"))
+    three = lambda p: {f"{p}_{c}": c for c in ("precision", "recall", "f1")}
+    parts = [
+        long(free, by, {c: c for c in ("vus_roc", "vus_pr", "pate")}), long(detect.event_overlap(truth, found, by), by, three("event")),
+        long(delay, by, {c: c for c in ("mean_delay", "segments_found")}), long(catalog.affiliation(half_open(truth), half_open(found), lengths, by), by, three("affiliation")),
+        long(proximity.pate_f1(flags, by, buffer, buffer), by, {"pate_f1": "pate_f1"}),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.where("value IS NOT NULL")

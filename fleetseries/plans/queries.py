@@ -653,6 +653,10 @@ pr AS (SELECT a.seed, a.entity, a.value AS va, b.value AS vb, a.value - b.value
 """
 
 
+#: Of the equivalence test: about the mean difference of the two arms, so that neither verdict is sure.
+MARGIN = 2.0
+
+
 def records(spark, d):
     """Mean absolute errors of two moving averages as arms, by entity and parity of the step as seed."""
     s = prep.causal_average(prep.centred_average(series(spark, d), 10, "c"), 10, "k").withColumn("seed", F.col("t") % 2)
@@ -703,6 +707,15 @@ def r10(spark, d):
     return rounded(reports.hodges_lehmann(paired(spark, d)), "hl")
 
 
+@query("r13_equivalence", RECORD_SQL + f""", c AS (SELECT count(*) AS n, avg(d) AS delta, stddev_samp(d) / sqrt(count(*)) AS se FROM pr), t AS (SELECT *, (delta + {MARGIN}) / se AS t1, ({MARGIN} - delta) / se AS t2, exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()) AS k FROM c),
+up AS (SELECT *, 0.5 - k * t1 / 30000 * list_sum(list_transform(range(0, 10001), lambda i: CASE WHEN i IN (0, 10000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t1 * i / 10000, 2) / (n - 1), -n / 2))) AS p_low,
+  0.5 - k * t2 / 30000 * list_sum(list_transform(range(0, 10001), lambda i: CASE WHEN i IN (0, 10000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t2 * i / 10000, 2) / (n - 1), -n / 2))) AS p_high FROM t)
+SELECT n, round(delta, 6) AS delta, round(se, 6) AS se, round(p_low, 6) AS p_low, round(p_high, 6) AS p_high, round(2.8 * se, 6) AS m80,
+  CASE WHEN greatest(p_low, p_high) < 0.05 THEN 'equivalent' ELSE 'not equivalent' END || CASE WHEN {MARGIN} < 2.8 * se THEN ', underpowered' ELSE '' END AS verdict FROM up""")
+def r13(spark, d):
+    return rounded(reports.equivalence(paired(spark, d), MARGIN).select("n", "delta", "se", "p_low", "p_high", "m80", "verdict"), "delta", "se", "p_low", "p_high", "m80")
+
+
 @query("r15_flat_entities", RECORD_SQL + ", x AS (SELECT 1) SELECT entity, round(max(value) - min(value), 6) AS spread, CASE WHEN max(value) - min(value) < 1e-9 THEN 1 ELSE 0 END AS flat FROM rec GROUP BY entity")
 def r15(spark, d):
     return rounded(reports.flat_entities(records(spark, d)), "spread")

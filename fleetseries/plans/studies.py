@@ -310,7 +310,7 @@ def gappy(spark, d):
 r AS (SELECT g.entity, j, a.v + (b.v - a.v) * (x - floor(x)) AS r FROM g JOIN fl AS a ON a.entity = g.entity AND a.t = floor(x) JOIN fl AS b ON b.entity = g.entity AND b.t = ceil(x))
 SELECT entity, j, round((r - avg(r) OVER e) / (stddev_pop(r) OVER e + 1e-9), 5) AS z FROM r WINDOW e AS (PARTITION BY entity)""", GAP_SQL)
 def n6(spark, d):
-    out = describe.resample(describe.interpolate(gappy(spark, d), ["entity"], 8), ["entity"], 64)
+    out = describe.resample(describe.interpolate(gappy(spark, d), ["entity"]), ["entity"], 64)
     return out.select("entity", F.col("j").cast("long").alias("j"), (F.round("z", 5) + 0.0).alias("z"))
 
 
@@ -677,6 +677,41 @@ def u1(spark, d):
     return rounded(met.groupBy("entity").agg(*((F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(c) for c in names)), *names)
 
 
+@query("u1_gated_nll", """g AS (SELECT e.entity, win, pos, token, lp.entity AS client, ln(w) AS logn, lp.logp AS q FROM (SELECT * FROM tok WHERE split = 'test') AS e JOIN lp USING (token) JOIN (SELECT entity, sum(n) AS w FROM grid0 GROUP BY entity) AS n ON n.entity = lp.entity),
+cw AS (SELECT *, logn + sum(q) OVER (PARTITION BY entity, win, client) AS ctx, logn + q AS tgt FROM g),
+mx AS (SELECT *, max(logn + q) OVER p AS m1, max(logn) OVER p AS m2, max(ctx + q) OVER p AS m3, max(ctx) OVER p AS m4, max(tgt + q) OVER p AS m5, max(tgt) OVER p AS m6 FROM cw WINDOW p AS (PARTITION BY entity, win, pos)),
+nl AS (SELECT entity, win, pos, -(any_value(m1) + ln(sum(exp(logn + q - m1)))) + any_value(m2) + ln(sum(exp(logn - m2))) AS v, -(any_value(m3) + ln(sum(exp(ctx + q - m3)))) + any_value(m4) + ln(sum(exp(ctx - m4))) AS c,
+  -(any_value(m5) + ln(sum(exp(tgt + q - m5)))) + any_value(m6) + ln(sum(exp(tgt - m6))) AS t FROM mx GROUP BY entity, win, pos)
+SELECT entity, round(avg(v), 6) AS volume_gate, round(avg(c), 6) AS context_gate, round(avg(t), 6) AS target_gate FROM nl GROUP BY entity""", PRIOR_SQL)
+def u1_gated(spark, d):
+    n = train_counts(spark, d)
+    volume = n.groupBy("entity").agg(F.log(F.sum("n")).alias("logn"))
+    experts = priors.full_table(n, TOKENS).join(volume, "entity").select(F.col("entity").alias("client"), "token", F.col("logp").alias("logq"), (-F.col("logp")).alias("nll"), "logn")
+    out = catalog.gated_nll(tokens(spark, d).where("split = 'test'"), experts, ["entity", "win"])
+    names = ["volume_gate", "context_gate", "target_gate"]
+    return rounded(out.groupBy("entity").agg(*(F.avg(c).alias(c) for c in names)), *names)
+
+
+@query("p16_cold_start", """cl AS (SELECT DISTINCT entity, cluster FROM series), fs AS (SELECT unnest([0, 1, 2]) AS f, unnest([0.1, 0.25, 0.5]) AS fraction),
+wn AS (SELECT entity, win, row_number() OVER (PARTITION BY entity ORDER BY u, win) - 1 AS place, count(*) OVER (PARTITION BY entity) AS al FROM (SELECT DISTINCT entity, win, CAST(('0x' || substr(md5(entity || '|' || win), 1, 8)) AS BIGINT) AS u FROM tok WHERE split = 'train')),
+kp AS (SELECT entity, f, CAST(fraction AS DOUBLE) AS fraction, win, greatest(1, CAST(round_even(CAST(al * fraction AS DOUBLE), 0) AS BIGINT)) AS windows FROM wn CROSS JOIN fs WHERE place < greatest(1, CAST(round_even(CAST(al * fraction AS DOUBLE), 0) AS BIGINT))),
+lo AS (SELECT k.entity, f, pos, token, count(*) AS n FROM kp AS k JOIN tok ON tok.entity = k.entity AND tok.win = k.win AND split = 'train' GROUP BY ALL), lt AS (SELECT entity, f, pos, sum(n) AS t FROM lo GROUP BY ALL),
+wh AS (SELECT entity, cluster, pos, token, count(*) AS n FROM tok JOIN cl USING (entity) WHERE split = 'train' GROUP BY ALL), ws AS (SELECT entity, cluster, pos, sum(n) AS t FROM wh GROUP BY ALL),
+po AS (SELECT cluster, pos, token, sum(n) AS n FROM wh GROUP BY ALL), pt AS (SELECT cluster, pos, sum(n) AS t FROM wh GROUP BY ALL),
+ft AS (SELECT lo.entity, f, ws.entity AS source, sum(lo.n * ln((coalesce(wh.n, 0) + 1) / (ws.t + 16))) AS fit FROM lo JOIN cl USING (entity) JOIN ws ON ws.cluster = cl.cluster AND ws.pos = lo.pos AND ws.entity <> lo.entity LEFT JOIN wh ON wh.entity = ws.entity AND wh.pos = lo.pos AND wh.token = lo.token GROUP BY ALL),
+nb AS (SELECT entity, f, source AS neighbour FROM ft QUALIFY row_number() OVER (PARTITION BY entity, f ORDER BY round(fit, 9) DESC, source) = 1),
+te AS (SELECT entity, cluster, pos, token, count(*) AS m FROM tok JOIN cl USING (entity) WHERE split = 'test' GROUP BY ALL),
+pr AS (SELECT te.entity, nb.f, nb.neighbour, m, (coalesce(lo.n, 0) + 1) / (coalesce(lt.t, 0) + 16) AS l, (coalesce(wh.n, 0) + 1) / (coalesce(ws.t, 0) + 16) AS w, (coalesce(po.n, 0) - coalesce(wh.n, 0) + 1) / (coalesce(pt.t, 0) - coalesce(ws.t, 0) + 16) AS o, (coalesce(nn.n, 0) + 1) / (coalesce(ns.t, 0) + 16) AS b
+ FROM te JOIN nb ON nb.entity = te.entity LEFT JOIN lo ON lo.entity = te.entity AND lo.f = nb.f AND lo.pos = te.pos AND lo.token = te.token LEFT JOIN lt ON lt.entity = te.entity AND lt.f = nb.f AND lt.pos = te.pos
+ LEFT JOIN wh ON wh.entity = te.entity AND wh.pos = te.pos AND wh.token = te.token LEFT JOIN ws ON ws.entity = te.entity AND ws.pos = te.pos LEFT JOIN po ON po.cluster = te.cluster AND po.pos = te.pos AND po.token = te.token LEFT JOIN pt ON pt.cluster = te.cluster AND pt.pos = te.pos
+ LEFT JOIN wh AS nn ON nn.entity = nb.neighbour AND nn.pos = te.pos AND nn.token = te.token LEFT JOIN ws AS ns ON ns.entity = nb.neighbour AND ns.pos = te.pos),
+ou AS (SELECT entity, f, neighbour, -sum(m * ln(l)) / sum(m) AS local, -sum(m * ln(0.7 * l + 0.3 * o)) / sum(m) AS assisted, -sum(m * ln(w)) / sum(m) AS whole, -sum(m * ln(0.7 * l + 0.3 * b)) / sum(m) AS routed FROM pr GROUP BY ALL)
+SELECT entity, fraction, windows, round(local, 6) AS local, round(assisted, 6) AS assisted, round(whole, 6) AS full, neighbour, round(routed, 6) AS routed FROM ou JOIN (SELECT DISTINCT entity, f, fraction, windows FROM kp) AS k USING (entity, f)""".replace("AS full,", 'AS "full",'), TOKEN_SQL)
+def p16(spark, d):
+    out = priors.cold_start(tokens(spark, d), series(spark, d).select("entity", "cluster").distinct(), TOKENS)
+    return rounded(out, "local", "assisted", "full", "routed")
+
+
 def transfer_sql(name: str, part: str) -> str:
     return f"{name} AS (SELECT s.entity AS source, p.entity AS target, coalesce(2 * sum(CASE WHEN p.score > s.thr THEN label ELSE 0 END) / nullif(sum(CASE WHEN p.score > s.thr THEN 1 ELSE 0 END) + sum(label), 0), 0) AS value FROM pred AS p JOIN th AS s ON s.cluster = p.cluster AND s.entity <> p.entity WHERE {part} GROUP BY ALL)"
 

@@ -119,6 +119,14 @@ def j13(spark, d):
     return out.withColumn("value", F.round("value", 5) + 0.0)
 
 
+@query("j13_suite")
+def j13_suite(spark, d):
+    thr, both = variants(spark, d)
+    raw = settled(both.where("variant = 'raw'").drop("variant"))
+    thr = settled(thr.where("variant = 'raw'").select("entity", "strategy", "thr"))
+    return rounded(volume.suite(raw, thr, ["entity"], BUFFER, CUTS), "value")
+
+
 # -- merged models -------------------------------------------------------------------------------------
 
 LAG_SQL = """, lg AS (SELECT cluster, entity, x, lag(x) OVER (PARTITION BY entity ORDER BY t) AS l FROM scaled WHERE split = 'train'),

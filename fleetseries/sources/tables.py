@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetseries.functions.frames import bankers, dense_index, framed
+from fleetseries.functions.frames import bankers, carried, dense_index
 
 SERIES = (
     T.StructType()
@@ -69,10 +69,7 @@ def multichannel_from_events(events: DataFrame, above: float = 150.0) -> DataFra
         .crossJoin(F.broadcast(hourly.select("entity").distinct()))  # four groups
     )
     joined = grid.join(hourly, ["entity", "hour", "event_type"], "left")
-    filled = framed(
-        joined, 24 * 14, 0,
-        {"filled": lambda w: F.last("value", ignorenulls=True).over(w.rowsBetween(-24 * 14, 0))}, keys=("entity", "channel"),
-    )
+    filled = carried(joined, ["entity", "channel"], "value", "__p", "__n").withColumn("filled", F.col("__p.value"))
     return filled.where(F.col("filled").isNotNull()).select(
         "entity", F.lit("test").alias("split"), "channel", "t", F.col("filled").alias("value"),
         F.coalesce((F.col("top") > above).cast("int"), F.lit(0)).alias("channel_label"),
@@ -88,7 +85,7 @@ grid AS (SELECT unnest(generate_series(low, high, INTERVAL 1 HOUR)) AS hour, low
 cells AS (SELECT g.hour, CAST(date_diff('hour', g.low, g.hour) AS BIGINT) AS t, k.event_type, k.channel, e.entity
           FROM grid AS g CROSS JOIN kinds AS k CROSS JOIN (SELECT DISTINCT entity FROM hourly) AS e),
 filled AS (SELECT c.entity, c.channel, c.t, h.top, last_value(h.value IGNORE NULLS) OVER (PARTITION BY c.entity, c.channel ORDER BY c.t
-             ROWS BETWEEN 336 PRECEDING AND CURRENT ROW) AS value FROM cells AS c LEFT JOIN hourly AS h USING (entity, hour, event_type)),
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM cells AS c LEFT JOIN hourly AS h USING (entity, hour, event_type)),
 multi AS (SELECT entity, channel, t, value, coalesce(CASE WHEN top > 150 THEN 1 ELSE 0 END, 0) AS channel_label FROM filled WHERE value IS NOT NULL)"""
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetseries.operators import proximity
+from fleetseries.operators import catalog, detect, prep, proximity, volume
 
 
 def runs_of(flags):
@@ -118,3 +118,27 @@ def test_pate_cuts_and_empty(spark, cases):
     bins = df.join(proximity.cut_scores(df, ["entity"], 40), "entity").select("entity", "score", "thr", proximity.first_reached(F.col("thr"), F.col("score"), 40).alias("bin"))
     for r in bins.collect():
         assert r.bin == sum(x > r.score for x in r.thr)
+
+
+def test_suite_rows_are_those_of_the_single_metrics(spark, cases):
+    """For each strategy, the long rows equal what each metric gives for that strategy's flags alone."""
+    both = {k: v for k, v in cases.items() if 0 < v[0].sum() < len(v[0]) and k in ("k0", "k3", "k4")}
+    rows = [(k, "c", "test", 0, t, float(s), int(y)) for k, (label, score) in both.items() for t, (y, s) in enumerate(zip(label, score))]
+    df = spark.createDataFrame(rows, "entity string, cluster string, split string, channel int, t long, score double, label int")
+    thr = spark.createDataFrame([(k, n, x) for k in both for n, x in (("low", 0.3), ("high", 0.8), ("never", 9.0))], "entity string, strategy string, thr double")
+    got = {(r.entity, r.strategy, r.metric): r.value for r in volume.suite(df, thr, ["entity"], 4, 20).collect()}
+    for name, x in (("low", 0.3), ("high", 0.8), ("never", 9.0)):
+        flags = df.withColumn("pred", (F.col("score") > x).cast("int"))
+        truth, found = prep.segments(flags, keys=["entity"]), prep.segments(flags, F.col("pred") == 1, ["entity"])
+        for r in detect.event_overlap(truth, found, ["entity"]).collect():
+            assert (r.precision, r.recall, r.f1) == pytest.approx(tuple(got[r.entity, name, f"event_{c}"] for c in ("precision", "recall", "f1")))
+        for r in detect.detection_delay(flags, ["entity"]).collect():
+            assert (r.mean_delay, r.found) == pytest.approx((got[r.entity, name, "mean_delay"], got[r.entity, name, "segments_found"]))
+        for r in proximity.pate_f1(flags, ["entity"], 4, 4).collect():
+            assert r.pate_f1 == pytest.approx(got[r.entity, name, "pate_f1"])
+        ends = [s.select("entity", "start", (F.col("stop") + 1).alias("stop")) for s in (truth, found)]
+        lengths = df.groupBy("entity").agg(F.count("*").alias("n"))
+        for r in catalog.affiliation(*ends, lengths, ["entity"]).collect():
+            assert r.recall == pytest.approx(got[r.entity, name, "affiliation_recall"]) and r.f1 == pytest.approx(got[r.entity, name, "affiliation_f1"])
+    for r in volume.surface(df, ["entity"], 4, 20).collect():
+        assert (r.vus_roc, r.vus_pr) == pytest.approx((got[r.entity, "free", "vus_roc"], got[r.entity, "free", "vus_pr"]))
