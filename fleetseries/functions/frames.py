@@ -91,15 +91,17 @@ def beside(df: DataFrame, keys: list[str], at: str, before: dict[str, str], afte
 def carried(df: DataFrame, keys: list[str], value: str, before: str, after: str, t: str = "t", step: int = CHUNK) -> DataFrame:
     """df with two structs (t, value): the nearest known value at or before a row, and at or after it, however far; null where there is none.
 
-    Rows meet in stretches of `step`; what a stretch lacks comes from a table of a row a stretch.
+    Rows meet in stretches of `step`; what a stretch lacks comes from a table of a row a stretch. What comes after is read
+    in falling order: a frame up to the end of a partition would be walked anew for every row.
     """
-    dealt = df.withColumn("__k", F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).alias("value")))).withColumn("__b", F.floor(F.col(t) / step))
-    own = W.partitionBy(*keys, "__b").orderBy(t)
-    line = W.partitionBy(*keys).orderBy("__b")
-    tips = dealt.groupBy(*keys, "__b").agg(F.max("__k").alias("__h"), F.min("__k").alias("__t"))
-    far = tips.select(*keys, "__b", F.last("__h", True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("__far_p"), F.first("__t", True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("__far_n"))
-    near = dealt.withColumns({before: F.last("__k", True).over(own.rowsBetween(W.unboundedPreceding, 0)), after: F.first("__k", True).over(own.rowsBetween(0, W.unboundedFollowing))})
-    return near.join(far, [*keys, "__b"]).withColumns({before: F.coalesce(before, "__far_p"), after: F.coalesce(after, "__far_n")}).select(*df.columns, before, after)
+    dealt = df.withColumn("__t", F.when(F.col(value).isNotNull(), F.col(t))).withColumn("__b", F.floor(F.col(t) / step))
+    own, line = W.partitionBy(*keys, "__b"), W.partitionBy(*keys)
+    last = lambda name, window, order, upto: F.last(name, True).over(window.orderBy(order).rowsBetween(W.unboundedPreceding, upto))
+    tips = dealt.groupBy(*keys, "__b").agg(F.max("__t").alias("__ht"), F.max_by(value, "__t").alias("__hv"), F.min("__t").alias("__tt"), F.min_by(value, "__t").alias("__tv"))
+    far = tips.select(*keys, "__b", *(last(f"__{e}{c}", line, order("__b"), -1).alias(f"__far_{e}{c}") for e, order in (("h", F.asc), ("t", F.desc)) for c in "tv"))
+    near = dealt.withColumns({f"__near_{e}{c}": last(name, own, order(t), 0) for e, order in (("h", F.asc), ("t", F.desc)) for c, name in (("t", "__t"), ("v", value))})
+    pair = lambda at: F.when(F.col(f"{at}t").isNotNull(), F.struct(F.col(f"{at}t").alias("t"), F.col(f"{at}v").alias("value")))
+    return near.join(far, [*keys, "__b"]).withColumns({name: F.coalesce(pair(f"__near_{e}"), pair(f"__far_{e}")) for name, e in ((before, "h"), (after, "t"))}).select(*df.columns, before, after)
 
 
 def dense_index(df: DataFrame, keys: tuple[str, ...], bucket: Column, order: list[str], name: str) -> DataFrame:

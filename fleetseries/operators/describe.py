@@ -179,13 +179,17 @@ def interpolate(series: DataFrame, keys: list[str], step: int = CHUNK) -> DataFr
 
 
 def resample(series: DataFrame, keys: list[str], points: int) -> DataFrame:
-    """(keys, j, z): each series at `points` equal places by linear interpolation, standardised. Two equi-joins with the bracketing steps."""
+    """(keys, j, z): each series at `points` equal places by linear interpolation, standardised. Each step brings the places between it and the next one."""
     n = series.groupBy(*keys).agg(F.count("*").alias("n"))
-    place = F.col("j") * (F.col("n") - 1) / (points - 1)
-    grid = n.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("__x", place).withColumn("__lo", F.floor("__x")).withColumn("__hi", F.ceil("__x"))
-    side = lambda name: series.select(*keys, F.col("t").alias(f"__{name}"), F.col("filled").alias(name))
-    met = grid.join(side("lo"), [*keys, "__lo"]).join(side("hi"), [*keys, "__hi"])
-    value = met.withColumn("r", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("__x") - F.col("__lo")))
+    near = framed(series.select(*keys, "t", "filled"), 0, 1, {"__next": lambda w: F.lead(F.struct("t", "filled")).over(w)}, tuple(keys))
+    last, t, long = points - 1, F.col("t"), F.greatest(F.col("n") - 1, F.lit(1))
+    place = lambda j: j * (F.col("n") - 1) / last
+    held = lambda c: F.least(F.greatest(c.cast("long"), F.lit(0)), F.lit(last))
+    low, high = held(F.ceil(t * last / long - 1e-6)), held(F.floor((t + 1) * last / long + 1e-6))  # a little wide: place has the last word
+    met = near.join(n, keys).where(low <= high).withColumn("j", F.explode(F.sequence(low, high))).where(F.floor(place(F.col("j"))) == t).withColumn("__x", place(F.col("j")))
+    on, after = F.ceil("__x") == t, F.col("__next")
+    hi = F.when(on, F.col("filled")).otherwise(after["filled"])
+    value = met.where(on | (after["t"] == t + 1)).withColumn("r", F.col("filled") + (hi - F.col("filled")) * (F.col("__x") - t)).withColumn("j", F.col("j").cast("int"))
     w = W.partitionBy(*keys)  # as many rows as places
     return value.withColumn("z", (F.col("r") - F.avg("r").over(w)) / (F.stddev_pop("r").over(w) + 1e-9)).select(*keys, "j", "r", "z")
 

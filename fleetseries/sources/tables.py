@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,18 +90,33 @@ filled AS (SELECT c.entity, c.channel, c.t, h.top, last_value(h.value IGNORE NUL
 multi AS (SELECT entity, channel, t, value, coalesce(CASE WHEN top > 150 THEN 1 ELSE 0 END, 0) AS channel_label FROM filled WHERE value IS NOT NULL)"""
 
 
+#: Days of the dense calendar that one task should hold, about.
+DENSE = 1 << 20
+
+
 def daily_from_lineitem(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
-    """Daily revenue by supplier over a dense calendar, 0 where nothing was shipped; the cluster is the supplier's nation."""
-    days = lineitem.groupBy("l_suppkey", F.to_date("l_shipdate").alias("day")).agg(F.sum(F.col("l_extendedprice").cast("double")).alias("sold"))
-    span = days.agg(F.min("day").alias("low"), F.max("day").alias("high"))
-    grid = days.select("l_suppkey").distinct().crossJoin(F.broadcast(span))  # one row of bounds
-    dense = grid.select("l_suppkey", "low", F.explode(F.sequence("low", "high")).alias("day")).withColumn("t", F.date_diff("day", "low").cast("long"))
-    named = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("cluster"))
-    return (
-        dense.join(days, ["l_suppkey", "day"], "left")
-        .join(named, "l_suppkey")
-        .select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("entity"), "cluster", F.lit("train").alias("split"),
-                F.lit(0).alias("channel"), "t", "day", F.coalesce("sold", F.lit(0.0)).alias("value"))
+    """Daily revenue by supplier over a dense calendar, 0 where nothing was shipped; the cluster is the supplier's nation.
+
+    Only the days of sales are shuffled, a row a supplier and day; each then brings the empty days up to the next one.
+    The result is dealt by entity in parts of about DENSE rows, so what works by entity on it needs no other shuffle.
+    """
+    name = lambda key: F.concat(F.lit("s"), F.col(key).cast("string"))
+    items = lineitem.select(name("l_suppkey").alias("entity"), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").cast("double").alias("price"))
+    span = items.agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    ends = span.select(F.coalesce(F.date_diff("high", "low") + 1, F.lit(0)).alias("days")).first()
+    parts = max(supplier.sparkSession.sparkContext.defaultParallelism, -(-supplier.count() * ends.days // DENSE))
+    days = items.where("entity IS NOT NULL").groupBy("entity", "day").agg(F.sum("price").alias("sold")).repartition(parts, "entity")
+    named = supplier.select(name("s_suppkey").alias("entity"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("cluster"))
+    w = W.partitionBy("entity").orderBy("day")  # as many rows as the calendar has days; a null day comes first
+    place = lambda day: F.date_diff(day, "low").cast("long")
+    met = days.crossJoin(F.broadcast(span)).withColumn("at", place("day"))  # one row of bounds
+    gaps = met.withColumns({
+        "from": F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("at")).cast("long"), "to": F.coalesce(F.lead("at").over(w) - 1, place("high")),
+    }).where("`from` <= `to`")
+    dense = gaps.join(named, "entity").withColumn("t", F.explode(F.sequence("from", "to")))
+    return dense.select(
+        "entity", "cluster", F.lit("train").alias("split"), F.lit(0).alias("channel"), "t", F.date_add("low", F.col("t").cast("int")).alias("day"),
+        F.coalesce(F.when(F.col("t") == F.col("at"), F.col("sold")), F.lit(0.0)).alias("value"),
     )
 
 

@@ -2,12 +2,14 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import beside
+from fleetseries.functions.frames import beside, carried
 from fleetseries.operators import catalog, describe, reports
+from fleetseries.sources import tables
 
 
 def matched(spark, d):
@@ -102,3 +104,31 @@ def test_interpolation_reaches_over_any_gap(spark, step):
     df = spark.createDataFrame(rows, "k string, t long, value double")
     for r in describe.interpolate(df, ["k"], step).collect():
         assert r.filled == (None if want[r.k, r.t] is None else pytest.approx(want[r.k, r.t], abs=1e-9))
+
+
+def test_carried_walks_no_frame_to_the_end(spark):
+    df = spark.createDataFrame([("a", t, float(t) if t in (2, 5) else None) for t in range(8)], "k string, t long, value double")
+    out = carried(df, ["k"], "value", "p", "n", step=3)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = [(r.p and r.p.t, r.n and r.n.t) for r in out.orderBy("t").collect()]
+    assert got == [(None, 2)] * 2 + [(2, 2)] + [(2, 5)] * 2 + [(5, 5)] + [(5, None)] * 2
+
+
+@pytest.mark.parametrize("n", [1, 5, 64, 200])
+def test_resample_of_any_length(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    df = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], "k string, t long, filled double")
+    got = [r.r for r in describe.resample(df, ["k"], 64).orderBy("j").collect()]
+    assert np.allclose(got, np.interp(np.arange(64) * (n - 1) / 63, np.arange(n), x))
+
+
+def test_daily_fills_from_the_first_day_to_the_last(spark, tmp_path):
+    rows = [(1, "1995-01-03 00:00:00", 2.0), (1, "1995-01-03 05:00:00", 3.0), (2, None, 9.0), (2, "1995-01-01 00:00:00", 1.0), (3, None, 4.0), (None, "1995-01-05 00:00:00", 7.0), (4, "1995-01-02 00:00:00", None), (9, "1995-01-02 00:00:00", 1.0)]
+    spark.createDataFrame(rows, "l_suppkey long, s string, l_extendedprice double").selectExpr("l_suppkey", "cast(s as timestamp) as l_shipdate", "l_extendedprice").coalesce(1).write.parquet(f"{tmp_path}/l")
+    spark.createDataFrame([(k, k % 3) for k in (1, 2, 3, 4, 5)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/s")
+    con = duckdb.connect()
+    for name, at in (("lineitem", "l"), ("supplier", "s")):
+        con.sql(f"create view {name} as select * from '{tmp_path}/{at}/*.parquet'")
+    got = tables.daily_from_lineitem(spark.read.parquet(f"{tmp_path}/l"), spark.read.parquet(f"{tmp_path}/s")).select("entity", "cluster", "t", "value")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"WITH {tables.DAILY_SQL} SELECT entity, cluster, t, value FROM daily").fetchall())
+    assert got.count() == 20 and got.where("value > 0").count() == 2
