@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import SERIES_KEYS, bankers, framed, runs, value_sums
+from fleetseries.functions.frames import CHUNK, SERIES_KEYS, bankers, framed, running_sum, settled, value_sums
 
 KEYS = list(SERIES_KEYS)
 SCALE_FLOOR, WINDOW_FLOOR = 1e-4, 1e-4
@@ -18,17 +18,34 @@ SCALE_FLOOR, WINDOW_FLOOR = 1e-4, 1e-4
 def segments(series: DataFrame, flag: Column | None = None, keys: list[str] | None = None) -> DataFrame:
     """Maximal runs of labelled points: start, stop (inclusive) and length."""
     keys = keys or KEYS
-    found = runs(series, F.col("label") == 1 if flag is None else flag, tuple(keys))
-    return found.groupBy(*keys, "run_id").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("length"))
+    mark = F.coalesce(F.col("label") == 1 if flag is None else flag, F.lit(False))
+    chunk = W.partitionBy(*keys, "__chunk").orderBy("t")
+    rows = series.select(*keys, "t", mark.alias("__f"), F.floor(F.col("t") / CHUNK).alias("__chunk"))
+    near = rows.withColumns({"__p": F.lag("__f").over(chunk), "__last": F.lead("__f").over(chunk).isNull()})
+    begins = F.col("__f") & ~F.coalesce("__p", F.lit(False))
+    told = near.withColumn("__run", F.when(F.col("__f"), F.sum(begins.cast("long")).over(chunk.rowsBetween(W.unboundedPreceding, 0))))
+    # a run within a chunk is a row, and so is what lies between a chunk's runs; only the first and last of a chunk can go on elsewhere
+    pieces = settled(told.groupBy(*keys, "__chunk", "__run").agg(
+        F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("length"),
+        F.max(F.col("__p").isNull()).alias("__first"), F.max("__last").alias("__last"),
+    ))
+    line = W.partitionBy(*keys).orderBy("__chunk")
+    ends = pieces.groupBy(*keys, "__chunk").agg(F.max(F.col("__run").isNotNull() & F.col("__last")).alias("__open"))
+    left = ends.select(*keys, "__chunk", F.coalesce(F.lag("__open").over(line), F.lit(False)).alias("__open"))
+    flagged = pieces.where("__run IS NOT NULL").join(left, [*keys, "__chunk"]).withColumn("t", F.col("start"))
+    found = running_sum(flagged, (~(F.col("__first") & F.col("__open"))).cast("long"), "run_id", tuple(keys))
+    return found.groupBy(*keys, "run_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("length").alias("length"))
 
 
 def labels_from_segments(series: DataFrame, spans: DataFrame, keys: list[str] | None = None, step: int = 1024) -> DataFrame:
-    """series with label 1 inside any span (inclusive). Spans meet points through buckets of `step` steps, by an equi-join."""
+    """series with label 1 inside any span (inclusive). Spans meet points by buckets of `step` steps: of those that begin at one step of a bucket the longest counts, so a bucket's list holds `step` spans at most."""
     keys = keys or KEYS
     dealt = spans.select(*keys, "start", "stop", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor(F.col("stop") / step))).alias("__b"))
-    points = series.drop("label").withColumn("__b", F.floor(F.col("t") / step))
-    hit = points.join(dealt, [*keys, "__b"]).where(F.col("t").between(F.col("start"), F.col("stop"))).select(*keys, "t").distinct()
-    return points.drop("__b").join(hit.withColumn("label", F.lit(1)), [*keys, "t"], "left").fillna({"label": 0})
+    longest = dealt.groupBy(*keys, "__b", F.greatest("start", F.col("__b") * step).alias("__from")).agg(F.max("stop").alias("__to"))
+    lists = longest.groupBy(*keys, "__b").agg(F.collect_list(F.struct("__from", "__to")).alias("__s"))
+    points = series.drop("label").withColumn("__b", F.floor(F.col("t") / step)).join(lists, [*keys, "__b"], "left")
+    inside = F.exists("__s", lambda s: F.col("t").between(s["__from"], s["__to"]))
+    return points.withColumn("label", F.coalesce(inside.cast("int"), F.lit(0))).drop("__b", "__s")
 
 
 def collapse_channels(series: DataFrame) -> DataFrame:
@@ -62,8 +79,7 @@ def mask_straight(series: DataFrame, least: int = 32, tolerance: float = 1e-9, k
     keys = keys or KEYS
     stepped = framed(series, 2, 0, {"__a": lambda w: F.lag("value", 1).over(w), "__b": lambda w: F.lag("value", 2).over(w)}, tuple(keys))
     bend = F.abs(F.col("value") - 2 * F.col("__a") + F.col("__b"))
-    lines = runs(stepped.withColumn("__flat", F.coalesce(bend <= tolerance, F.lit(False))), F.col("__flat"), tuple(keys))
-    spans = lines.groupBy(*keys, "run_id").agg((F.min("t") - 2).alias("start"), F.max("t").alias("stop"))
+    spans = segments(stepped, bend <= tolerance, keys).withColumn("start", F.col("start") - 2)
     marked = labels_from_segments(series.withColumnRenamed("label", "__label"), spans.where(F.col("stop") - F.col("start") + 1 >= least), keys)
     return marked.withColumn("value", F.when(F.col("label") == 0, F.col("value"))).drop("label").withColumnRenamed("__label", "label")
 
