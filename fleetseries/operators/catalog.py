@@ -6,45 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import bankers, beside, dense_index, quantiles, running_sum, runs
+from fleetseries.functions.frames import bankers, beside, dense_index, quantiles, running_sum, settled
 from fleetseries.operators.faults import normal, uniform
-from fleetseries.operators.prep import KEYS, average_rank, labels_from_segments
+from fleetseries.operators.prep import KEYS, average_rank, labels_from_segments, segments
 
 # -- clean windows -------------------------------------------------------------------------------------
 
 
+def window_candidates(series: DataFrame, guard: int, val: int, train: int, share: float, step: int = 128) -> DataFrame:
+    """(entity, a, b, n, s, bad): windows without gaps from a run's start, or guard steps after a label, to the run's end, whose
+    first s steps and the guard before them hold no label and whose rest holds bad of them, one at least.
+
+    The points are read twice, for the runs and for the labels; all else is worked out from these. Labels and runs meet by
+    buckets of `step` steps; labels are counted up to three places of a window by running totals over both.
+    """
+    hits = settled(series.where("label = 1").select("entity", "t"))
+    ends = settled(segments(series, F.col("value").isNotNull(), ["entity"]).select("entity", F.col("start").alias("a0"), (F.col("stop") + 1).alias("b")))
+    dealt = ends.withColumn("__b", F.explode(F.sequence(F.floor(F.col("a0") / step), F.floor((F.col("b") - 1) / step))))
+    later = hits.select("entity", (F.col("t") + 1 + guard).alias("a")).withColumn("__b", F.floor(F.col("a") / step))
+    after = later.join(dealt, ["entity", "__b"]).where((F.col("a") >= F.col("a0")) & (F.col("a") < F.col("b"))).select("entity", "a", "b")
+    cand = ends.select("entity", F.col("a0").alias("a"), "b").unionByName(after).distinct()
+    length = F.col("b") - F.col("a")
+    sized = cand.withColumns({"n": length, "s": bankers(0.5 * length)})
+    fits = sized.where((F.col("s") >= val + train) & (F.col("s") >= share * F.col("n")) & (F.col("n") - F.col("s") >= share * F.col("n")))
+    window = F.struct("a", "b", "n", "s").alias("w")
+    at = (F.col("a") - guard - 1, F.col("a") + F.col("s") - 1, F.col("b") - 1)
+    asked = fits.select("entity", window, F.posexplode(F.array(*at)).alias("k", "t")).withColumn("t", 2 * F.col("t") + 1)  # after a label at the same step
+    both = hits.select("entity", (2 * F.col("t")).alias("t")).unionByName(asked, allowMissingColumns=True)
+    upto = running_sum(both, F.col("w").isNull().cast("long"), "__c", ("entity",)).where("w IS NOT NULL")
+    count = lambda k: F.max(F.when(F.col("k") == k, F.col("__c")))
+    counted = upto.groupBy("entity", "w").agg(*(count(k).alias(f"c{k}") for k in range(3)))
+    return counted.where("c1 = c0 AND c2 > c1").select("entity", "w.*", (F.col("c2") - F.col("c1")).alias("bad"))
+
+
+def longest_windows(candidates: DataFrame, most_rate: float | None) -> DataFrame:
+    """(entity, a, split_at, b): the longest of each entity's candidates, labelled on at most most_rate of their rest; of equally long ones the first."""
+    good = candidates if most_rate is None else candidates.where(F.col("bad") <= most_rate * (F.col("n") - F.col("s")))
+    best = good.groupBy("entity").agg(F.min_by(F.struct("a", (F.col("a") + F.col("s")).alias("split_at"), "b"), F.struct(-F.col("n"), F.col("a"))).alias("w"))
+    return best.select("entity", "w.a", "w.split_at", "w.b")
+
+
 def clean_windows(series: DataFrame, guard: int, val: int, train: int, share: float = 0.1, most_rate: float | None = None) -> DataFrame:
     """(entity, a, split_at, b): the longest window without gaps whose first half, and the guard before it, is free of labels.
 
     Its second half has a label, and labels on at most most_rate of its points (None: any). Half of it holds val and
     train points at least, and each part a `share` of it. A window starts at a run's start or guard steps after a label.
-    Labels are counted from their running total at three offsets. Of equally long windows the first counts.
+    Of equally long windows the first counts.
     """
-    keys = ["entity"]
-    flags = series.select("entity", "t", F.col("label").cast("long").alias("label"), F.col("value").isNotNull().alias("__ok"))
-    upto = running_sum(flags, F.col("label"), "__c", tuple(keys)).select("entity", "t", "__c")
-    held = runs(flags, F.col("__ok"), tuple(keys))
-    ends = held.groupBy("entity", "run_id").agg(F.min("t").alias("a0"), (F.max("t") + 1).alias("b"))
-    starts = ends.select("entity", "run_id", F.col("a0").alias("a"))
-    after = flags.where("label = 1").select("entity", (F.col("t") + 1 + guard).alias("t")).join(held.select("entity", "t", "run_id"), ["entity", "t"]).select("entity", "run_id", F.col("t").alias("a"))
-    cand = starts.unionByName(after).distinct().join(ends, ["entity", "run_id"])
-    length = F.col("b") - F.col("a")
-    half = bankers(0.5 * length)
-    fits = cand.withColumns({"n": length, "s": half}).where((F.col("s") >= val + train) & (F.col("s") >= share * F.col("n")) & (F.col("n") - F.col("s") >= share * F.col("n")))
-    total = lambda df, at, name: df.withColumn("__at", at).join(upto.select("entity", F.col("t").alias("__at"), F.col("__c").alias(name)), ["entity", "__at"], "left").drop("__at").fillna(0, [name])
-    counted = total(total(total(fits, F.col("a") - guard - 1, "c0"), F.col("a") + F.col("s") - 1, "c1"), F.col("b") - 1, "c2")
-    bad = F.col("c2") - F.col("c1")
-    good = counted.where((F.col("c1") == F.col("c0")) & (bad >= 1))
-    if most_rate is not None:
-        good = good.where(bad <= most_rate * (F.col("n") - F.col("s")))
-    best = good.groupBy("entity").agg(F.min_by(F.struct("a", (F.col("a") + F.col("s")).alias("split_at"), "b"), F.struct(-F.col("n"), F.col("a"))).alias("w"))
-    return best.select("entity", "w.a", "w.split_at", "w.b")
+    return longest_windows(window_candidates(series, guard, val, train, share), most_rate)
 
 
 def funnel(series: DataFrame, guard: int, val: int, train: int, most_rate: float) -> DataFrame:
     """(entity, reason): the first stage that turns a series down, or client."""
     any_ = series.groupBy("entity").agg(F.max("label").alias("any"))
-    found = lambda rate, name: clean_windows(series, guard, val, train, most_rate=rate).select("entity", F.lit(1).alias(name))
+    candidates = settled(window_candidates(series, guard, val, train, 0.1))
+    found = lambda rate, name: longest_windows(candidates, rate).select("entity", F.lit(1).alias(name))
     met = any_.join(found(None, "free"), "entity", "left").join(found(most_rate, "minor"), "entity", "left")
     reason = F.when(F.coalesce("any", F.lit(0)) == 0, "no_anomaly").when(F.col("free").isNull(), "no_clean_window").when(F.col("minor").isNull(), "anomaly_dominated").otherwise("client")
     return met.select("entity", reason.alias("reason"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetseries.operators import catalog, describe, faults
+from fleetseries.operators import catalog, describe, faults, prep
 from fleetseries.plans import studies  # noqa: F401
 from fleetseries.plans.queries import ORACLES, QUERIES
 
@@ -122,3 +122,25 @@ def test_queries_equal_their_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(names)
     assert flat(got.select(*names).collect()) == flat(want.fetchall())
+
+
+def test_segments_go_on_from_chunk_to_chunk(spark):
+    at = [*range(65530, 65540), 131071, 131072, 131073, 300000, 300001]
+    flags = [1, 0, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1, 0, 1, 1]
+    s = spark.createDataFrame([("a", "c", "test", 0, t, 1.0, y) for t, y in zip(at, flags, strict=True)], SERIES)
+    got = [(r.run_id, r.start, r.stop, r.length) for r in prep.segments(s).orderBy("start").collect()]
+    assert got == [(1, 65530, 65530, 1), (2, 65532, 65537, 6), (3, 65539, 131072, 3), (4, 300000, 300001, 2)]
+
+
+def test_labels_from_spans_that_overlap(spark):
+    spans = [(0, 3), (2, 9), (2, 4), (5, 5), (12, 18), (16, 17), (31, 99)]
+    df = spark.createDataFrame([("a", "test", 0, *x) for x in spans], "entity string, split string, channel int, start long, stop long")
+    got = [r.label for r in prep.labels_from_segments(line(spark, range(40)), df, step=4).orderBy("t").collect()]
+    assert got == [int(any(a <= t <= b for a, b in spans)) for t in range(40)]
+
+
+@pytest.mark.parametrize("made", [lambda s: catalog.clean_windows(s, 3, 6, 12), lambda s: prep.segments(s)])
+def test_points_are_not_read_again(spark, tmp_path, made):
+    line(spark, range(200), [int(k in (40, 150, 160)) for k in range(200)]).write.parquet(f"{tmp_path}/points")
+    out = made(spark.read.parquet(f"{tmp_path}/points"))
+    assert not [f for f in out.inputFiles() if str(tmp_path) + "/points" in f] and out.count()
