@@ -35,6 +35,11 @@ def bankers(value: Column) -> Column:
     return F.bround(value, 0).cast("long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once a row: inside a lambda Spark would work it out for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def framed(
     df: DataFrame,
     before: int,

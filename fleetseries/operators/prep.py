@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import CHUNK, SERIES_KEYS, bankers, framed, running_sum, settled, value_sums
+from fleetseries.functions.frames import CHUNK, SERIES_KEYS, bankers, framed, let, running_sum, settled, value_sums
 
 KEYS = list(SERIES_KEYS)
 SCALE_FLOOR, WINDOW_FLOOR = 1e-4, 1e-4
@@ -150,13 +150,15 @@ def scale(series: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
 def standardise_window(w: Column, floor: float = WINDOW_FLOOR) -> Column:
     """The window minus its mean, over its sample standard deviation (floored)."""
     n = F.size(w)
-    total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-    spread = F.aggregate(w, F.lit(0.0), lambda a, x: a + (x - total / n) * (x - total / n))
-    return F.transform(w, lambda x: (x - total / n) / F.greatest(F.sqrt(spread / (n - 1)), F.lit(floor)))
+    mean = F.aggregate(w, F.lit(0.0), lambda a, x: a + x) / n
+    spread = lambda m: F.aggregate(w, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+    own = let(mean, lambda m: F.struct(m.alias("m"), F.greatest(F.sqrt(spread(m) / (n - 1)), F.lit(floor)).alias("sd")))
+    return let(own, lambda s: F.transform(w, lambda x: (x - s["m"]) / s["sd"]))
 
 
 def minmax_window(w: Column, floor: float = 1e-6) -> Column:
-    return F.transform(w, lambda x: (x - F.array_min(w)) / F.greatest(F.array_max(w) - F.array_min(w), F.lit(floor)))
+    ends = F.struct(F.array_min(w).alias("low"), F.greatest(F.array_max(w) - F.array_min(w), F.lit(floor)).alias("span"))
+    return let(ends, lambda s: F.transform(w, lambda x: (x - s["low"]) / s["span"]))
 
 
 def detrend(series: DataFrame, keys: list[str]) -> DataFrame:
@@ -187,7 +189,7 @@ def richness(windows: DataFrame) -> DataFrame:
     """windows with richness: their sample deviation plus three times the share of places where the step's sign flips."""
     n = F.size("w")
     mean = F.aggregate("w", F.lit(0.0), lambda a, x: a + x) / n
-    sd = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1))
+    sd = let(mean, lambda m: F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / (n - 1)))
     at = lambda k: F.get("w", k)
     flips = F.size(F.filter(F.sequence(F.lit(1), n - 2), lambda k: F.signum(at(k) - at(k - 1)) != F.signum(at(k + 1) - at(k))))
     return windows.withColumn("richness", sd + 3 * flips / (n - 2))

@@ -144,3 +144,13 @@ def test_points_are_not_read_again(spark, tmp_path, made):
     line(spark, range(200), [int(k in (40, 150, 160)) for k in range(200)]).write.parquet(f"{tmp_path}/points")
     out = made(spark.read.parquet(f"{tmp_path}/points"))
     assert not [f for f in out.inputFiles() if str(tmp_path) + "/points" in f] and out.count()
+
+
+def test_window_moments_are_worked_out_once(spark):
+    x = np.random.default_rng(8).normal(size=3000)
+    w = spark.createDataFrame([(x.tolist(),)], "w array<double>")
+    out = w.select(prep.standardise_window(F.col("w")).alias("z"), prep.minmax_window(F.col("w")).alias("m"))
+    got = out.first()
+    assert np.allclose(got.z, (x - x.mean()) / x.std(ddof=1)) and np.allclose(got.m, (x - x.min()) / np.ptp(x))
+    plan = w.select(prep.standardise_window(F.col("w")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2
