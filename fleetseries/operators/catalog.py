@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetseries.functions.frames import bankers, beside, dense_index, quantiles, running_sum, settled
+from fleetseries.functions.frames import bankers, beside, dense_index, let, quantiles, running_sum, settled
 from fleetseries.operators.faults import normal, uniform
 from fleetseries.operators.prep import KEYS, average_rank, labels_from_segments, segments
 
@@ -293,8 +293,8 @@ def gated_nll(tokens: DataFrame, experts: DataFrame, keys: list[str]) -> DataFra
     rows = met.join(context, [*keys, "client"]).groupBy(*keys, "pos", "token").agg(F.collect_list(F.struct("logn", "nll", (F.col("logn") + F.col("__q")).alias("context"))).alias("__e"))
 
     def log_sum(weight) -> Column:
-        exponents = F.transform("__e", weight)
-        return F.array_max(exponents) + F.log(F.aggregate(F.transform(exponents, lambda x: F.exp(x - F.array_max(exponents))), F.lit(0.0), lambda a, x: a + x))
+        total = lambda x, top: F.aggregate(x, F.lit(0.0), lambda a, y: a + F.exp(y - top))
+        return let(F.transform("__e", weight), lambda x: let(F.array_max(x), lambda top: top + F.log(total(x, top))))
 
     mixed = lambda weight: -log_sum(lambda e: weight(e) - e["nll"]) + log_sum(weight)
     gates = {"volume_gate": lambda e: e["logn"], "context_gate": lambda e: e["context"], "target_gate": lambda e: e["logn"] - e["nll"]}
