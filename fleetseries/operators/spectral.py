@@ -118,9 +118,30 @@ def lags_of(blocks: DataFrame, keys: list[str], piece: int = PIECE) -> DataFrame
     return blocks.where("column IS NOT NULL").groupBy(*keys, "block").applyInArrow(last, f"{schema}, lag long, s double")
 
 
+def acf_short(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """acf_full from sized rows of series whose transform is one piece: a task works it out whole, and nothing but the points is shuffled."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def whole(table: pa.Table) -> pa.Table:
+        n, places = table["n"][0].as_py(), 1 << table["bits"][0].as_py()
+        x = np.zeros(places)
+        x[table["t"].to_numpy()] = table["x"].to_numpy()
+        s = np.fft.irfft(np.abs(np.fft.rfft(x)) ** 2, places)[: n // 2 + 1]
+        acf = pa.array(s / s[0]) if s[0] > 1e-9 else pa.nulls(len(s), pa.float64())
+        return pa.table({k: pa.array([table[k][0].as_py()], table[k].type).take(pa.array(np.zeros(len(s), np.int64))) for k in keys} | {"lag": pa.array(np.arange(len(s))), "acf": acf})
+
+    return rows.select(*keys, "n", "bits", "t", "x").groupBy(*keys).applyInArrow(whole, f"{schema}, lag long, acf double")
+
+
 def acf_full(series: DataFrame, keys: list[str], value: str, piece: int = PIECE) -> DataFrame:
-    """(keys, lag, acf) for all lags up to half the length (steps from the first to the last); null for a series of zeros."""
-    return relative(lags_of(power_blocks(sized(series, keys, value, 2), keys, F.lit(0.0), piece), keys, piece), keys)
+    """(keys, lag, acf) for all lags up to half the length (steps from the first to the last); null for a series of zeros.
+
+    Series of up to `piece` places are worked out whole, longer ones by blocks.
+    """
+    rows = sized(series, keys, value, 2)
+    one = F.pow(F.lit(2), F.col("bits")) <= piece
+    long = relative(lags_of(power_blocks(rows.where(~one), keys, F.lit(0.0), piece), keys, piece), keys)
+    return acf_short(rows.where(one), keys).unionByName(long)
 
 
 def relative(sums: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,6 +42,12 @@ def test_acf_equals_numpy(spark, piece):
             assert [own[i] for i in range(len(own))] == pytest.approx(plain_acf(x).tolist(), abs=1e-9)
 
 
+def test_short_series_are_shuffled_as_points_alone(spark):
+    points = spectral.sized(frame(spark, {"a": np.arange(50.0)}), ["entity"], "x", 2)
+    plan = spectral.acf_short(points, ["entity"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "array<double>" not in plan
+
+
 @pytest.mark.parametrize("step", [4096, 7, 2])
 def test_prominences_equal_a_loop(spark, step):
     rng = np.random.default_rng(5)
