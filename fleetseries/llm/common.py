@@ -40,17 +40,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def hash_sample(ids: DataFrame, column: str, most: int) -> DataFrame:
-    """At most `most` distinct values of column, by the order of their hash: the same ones at every run."""
-    return (
-        ids.where(F.col(column).isNotNull())
-        .select(column)
-        .distinct()
-        .orderBy(F.xxhash64(F.col(column)), F.col(column))
-        .limit(most)
-    )
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, <label>) of at most `most` labelled documents of docs; never those whose crc32 mod 3 is 1.
 

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -317,6 +318,20 @@ def test_network_is_asked_about_letters_alone_and_short_runs(spark):
     assert sum(k == "net" for f in secret_scan.spans(texts, model) for k, *_ in f) <= 0.02 * len(plain)
 
 
+def test_network_learns_from_all_documents_in_any_parts(spark, monkeypatch):
+    """Long numbers stand in the last 608 of 8,800 documents by the hash of doc_id: no first 8,192 show them."""
+    order = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    number = F.substring(F.regexp_replace(F.sha2(F.col("doc_id").cast("string"), 256), "[a-f]", ""), 1, 20)
+    late = spark.range(8800).withColumnRenamed("id", "doc_id").withColumn("late", order > 8192)
+    docs = late.withColumn("text", F.when(F.col("late"), F.concat(F.lit("order "), number, F.lit(" came"))).otherwise("an internationalisation of the neighbourhoods"))
+    monkeypatch.setattr(secret_scan, "PART", 300)
+    model = secret_scan.fit(docs)
+    texts = [r.text for r in docs.where("late").orderBy("doc_id").collect()]
+    assert len(texts) == 608 and sum(k == "net" for f in secret_scan.spans(texts, model) for k, *_ in f) <= 30
+    again = secret_scan.fit(docs.repartition(7))
+    assert (again["net"].flat() == model["net"].flat()).all() and again["threshold"] == model["threshold"]
+
+
 def test_threshold_holds_the_recall_of_real_and_of_drawn_secrets():
     p = np.concatenate([np.linspace(0.2, 0.4, 40), np.linspace(0.6, 1, 400), np.zeros(50)])
     which = np.repeat([1, 2, 0], [40, 400, 50])
