@@ -221,9 +221,9 @@ def best_median_worst(rows: DataFrame, keys: list[str], metric: str, k: int) ->
 # -- scores and tokens ---------------------------------------------------------------------------------
 
 
-def pot_threshold(scores: DataFrame, keys: list[str], level: float = 0.02, q: float = 1e-3) -> DataFrame:
-    """thr: peaks over the (1 - level) quantile as a generalised Pareto tail, fitted by its moments (our own estimator), cut at risk q."""
-    top = quantiles(scores, keys, "score", {"u": 1 - level}).join(scores.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+def pot_threshold(scores: DataFrame, keys: list[str], level: float = 0.02, q: float = 1e-3, top: DataFrame | None = None) -> DataFrame:
+    """thr: peaks over the (1 - level) quantile as a generalised Pareto tail, fitted by its moments (our own estimator), cut at risk q. top: that quantile u by key, if it is known."""
+    top = (quantiles(scores, keys, "score", {"u": 1 - level}) if top is None else top).join(scores.groupBy(*keys).agg(F.count("*").alias("n")), keys)
     peak = scores.join(top, keys).where("score > u").withColumn("e", F.col("score") - F.col("u"))
     g = peak.groupBy(*keys, "u", "n").agg(F.count("*").alias("c"), F.avg("e").alias("m"), F.var_pop("e").alias("v"))
     ratio = F.col("m") * F.col("m") / F.col("v")

@@ -121,9 +121,10 @@ def j13(spark, d):
 
 @query("j13_suite")
 def j13_suite(spark, d):
-    thr, both = variants(spark, d)
-    raw = settled(both.where("variant = 'raw'").drop("variant"))
-    thr = settled(thr.where("variant = 'raw'").select("entity", "strategy", "thr"))
+    """The raw scores alone, so nothing is adjusted."""
+    s = scored(spark, d)
+    raw = settled(s.where("split = 'test'").select(*KEYS, "t", "label", "score"))
+    thr = settled(volume.strategies(s.where("split = 'train'"), raw, None, ["entity"], 0.95, 0.1).select("entity", "strategy", "thr"))
     return rounded(volume.suite(raw, thr, ["entity"], BUFFER, CUTS), "value")
 
 

@@ -142,3 +142,13 @@ def test_suite_rows_are_those_of_the_single_metrics(spark, cases):
             assert r.recall == pytest.approx(got[r.entity, name, "affiliation_recall"]) and r.f1 == pytest.approx(got[r.entity, name, "affiliation_f1"])
     for r in volume.surface(df, ["entity"], 4, 20).collect():
         assert (r.vus_roc, r.vus_pr) == pytest.approx((got[r.entity, "free", "vus_roc"], got[r.entity, "free", "vus_pr"]))
+
+
+def test_strategies_need_no_adjusted_scores_and_null_scores_reach_no_cut(spark, cases):
+    df = points(spark, {k: cases[k] for k in ("k0", "k3")}).select("entity", "t", "label", "score")
+    keyed = lambda out: {(r.entity, r.variant, r.strategy): r.thr for r in out.collect()}
+    alone = keyed(volume.strategies(df, df, None, ["entity"], 0.9, 0.2))
+    both = keyed(volume.strategies(df, df, df, ["entity"], 0.9, 0.2))
+    assert len(both) == 2 * len(alone) == 16 and all(both[e, v, s] == x for (e, _, s), x in alone.items() for v in ("raw", "adjusted"))
+    cuts = spark.sql("SELECT array(3D, 2D, 1D) AS thr, explode(array(3D, 2.5D, 0D, NULL)) AS score")
+    assert [r.b for r in cuts.select(proximity.first_reached(F.col("thr"), F.col("score"), 3).alias("b")).collect()] == [0, 1, 3, 3]
