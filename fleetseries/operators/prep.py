@@ -161,12 +161,20 @@ def minmax_window(w: Column, floor: float = 1e-6) -> Column:
     return let(ends, lambda s: F.transform(w, lambda x: (x - s["low"]) / s["span"]))
 
 
+def trend(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Slope __m and intercept __c of each series' linear trend; null for a single point."""
+    return series.groupBy(*keys).agg(F.regr_slope("value", "t").alias("__m"), F.regr_intercept("value", "t").alias("__c"))
+
+
 def detrend(series: DataFrame, keys: list[str]) -> DataFrame:
-    """series with d: the value minus its linear trend, over its population standard deviation (plus 1e-9)."""
-    line = series.groupBy(*keys).agg(F.regr_slope("value", "t").alias("__m"), F.regr_intercept("value", "t").alias("__c"))
-    flat = series.join(line, keys).withColumn("__r", F.col("value") - F.col("__m") * F.col("t") - F.col("__c"))
-    spread = flat.groupBy(*keys).agg(F.avg("__r").alias("__a"), F.stddev_pop("__r").alias("__s"))
-    return flat.join(spread, keys).withColumn("d", (F.col("__r") - F.col("__a")) / (F.col("__s") + 1e-9)).drop("__m", "__c", "__r", "__a", "__s")
+    """series with d: the value minus its linear trend, over its population standard deviation (plus 1e-9).
+
+    The trend comes along with the residuals' mean and deviation, so series is read three times and the points meet one table.
+    """
+    left = F.col("value") - F.col("__m") * F.col("t") - F.col("__c")
+    flat = series.join(trend(series, keys), keys).withColumn("__r", left)
+    fit = flat.groupBy(*keys).agg(F.first("__m").alias("__m"), F.first("__c").alias("__c"), F.avg("__r").alias("__a"), F.stddev_pop("__r").alias("__s"))
+    return series.join(fit, keys).withColumn("d", (left - F.col("__a")) / (F.col("__s") + 1e-9)).drop("__m", "__c", "__a", "__s")
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -231,6 +239,24 @@ def acf_at(series: DataFrame, lag: int, value: str, keys: list[str]) -> DataFram
     return ahead.groupBy(*keys).agg(F.try_divide(top, F.sum(F.col(value) * F.col(value))).alias("acf"))
 
 
+def detrended_acf_at(series: DataFrame, lag: int, keys: list[str]) -> DataFrame:
+    """acf_at of what detrend leaves of the value; null where the series is too short or nothing is left.
+
+    The deviation that detrend divides by cancels, and the residuals' mean is taken out of the sums: series is read
+    twice, once for the trend, and sorted once, with the point `lag` ahead found before the trend is joined.
+    """
+    ahead = {"__v": lambda w: F.lead("value", lag).over(w), "__u": lambda w: F.lead("t", lag).over(w)}
+    both = framed(series, 0, lag, ahead, tuple(keys)).join(trend(series, keys), keys)
+    left = lambda v, t: F.col(v) - F.col("__m") * F.col(t) - F.col("__c")
+    pairs = both.select(*keys, left("value", "t").alias("__r"), left("__v", "__u").alias("__y"))
+    r, y = F.col("__r"), F.col("__y")
+    sums = pairs.groupBy(*keys).agg(
+        F.avg(r).alias("__a"), F.count(r).alias("__n"), F.sum(r * r).alias("__rr"), F.count(r * y).alias("__k"), F.sum(r * y).alias("__ry"), F.sum(F.when((r * y).isNotNull(), r + y)).alias("__q"),
+    )
+    a = F.col("__a")
+    return sums.select(*keys, F.try_divide(F.col("__ry") - a * F.col("__q") + F.col("__k") * a * a, F.col("__rr") - F.col("__n") * a * a).alias("acf"))
+
+
 def envelope(series: DataFrame, buckets: int, keys: list[str]) -> DataFrame:
     """Minimum, maximum and mean of each of `buckets` equal parts of a series."""
     n = series.groupBy(*keys).agg(F.count("*").alias("__n"))

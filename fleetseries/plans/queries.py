@@ -274,7 +274,7 @@ SELECT entity, round(sum(z * y) / sum(z * z), 6) AS acf FROM nxt GROUP BY entity
     DAILY_SQL,
 )
 def w8(spark, d):
-    return rounded(prep.acf_at(prep.detrend(daily(spark, d), ["entity"]), 7, "d", ["entity"]), "acf")
+    return rounded(prep.detrended_acf_at(daily(spark, d), 7, ["entity"]), "acf")
 
 
 @query("w11_envelope", "SELECT entity, (t * 50) // n AS bucket, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 4) AS mean FROM (SELECT *, count(*) OVER (PARTITION BY entity) AS n FROM daily) GROUP BY ALL", DAILY_SQL)

@@ -93,3 +93,31 @@ def test_queries_equal_their_sql(spark, name):
     assert order == sorted(sql.columns)
     text = lambda rows, names: sorted(str([round(r[names.index(c)], 5) if isinstance(r[names.index(c)], float) else r[names.index(c)] for c in order]) for r in rows)
     assert text(df.collect(), df.columns) == text(sql.fetchall(), list(sql.columns))
+
+
+def test_detrended_autocorrelation_equals_numpy(spark):
+    from fleetseries.functions.frames import CHUNK
+
+    rng = np.random.default_rng(4)
+    made = {
+        "noise": rng.normal(size=90) + 0.3 * np.arange(90), "wave": np.sin(np.arange(200) / 3) + 1e6, "sparse": np.where(np.arange(60) % 9, 0.0, 5e4), "short": rng.normal(size=7),
+        "flat": np.full(30, 2.0), "one": np.array([3.0]), "long": rng.normal(size=CHUNK + 5).cumsum(), "nearly": 50.0 * np.arange(80) + 1e-4 * rng.normal(size=80),
+    }
+    rows = [(k, t, float(x)) for k, xs in made.items() for t, x in enumerate(xs)] + [("gap", t, None if t == 12 else float(t * t % 11)) for t in range(40)]
+    s = spark.createDataFrame(rows, "entity string, t long, value double")
+    got = {r.entity: r.acf for r in prep.detrended_acf_at(s, 7, ["entity"]).collect()}
+    by_steps = {r.entity: r.acf for r in prep.acf_at(prep.detrend(s, ["entity"]), 7, "d", ["entity"]).collect()}
+    assert set(got) == {*made, "gap"} and {k for k, v in got.items() if v is None} == {"short", "flat", "one"}
+    for k, v in got.items():
+        assert v == pytest.approx(by_steps[k], abs=1e-9)
+        if k in made and v is not None:
+            t = np.arange(len(made[k]))
+            r = made[k] - np.polyval(np.polyfit(t, made[k], 1), t)
+            assert v == pytest.approx(r[:-7] @ r[7:] / (r @ r), abs=1e-6)
+
+
+@pytest.mark.parametrize("name, reads", [("w8_acf_at_lag", 2), ("n5_detrend", 3)])
+def test_detrended_queries_read_the_calendar_seldom(spark, name, reads):
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(sequence(from") <= reads
+    assert name != "w8_acf_at_lag" or plan.count("Generate explode") == reads + 1  # and one frame
