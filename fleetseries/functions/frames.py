@@ -69,7 +69,7 @@ def running_sum(
     earlier = W.partitionBy(*keys).orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__chunk", F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__offset"))
     within = W.partitionBy(*keys, "__chunk").orderBy(t).rowsBetween(W.unboundedPreceding, 0)
-    joined = chunked.join(offsets, [*keys, "__chunk"])
+    joined = chunked.join(offsets.hint("shuffle_hash"), [*keys, "__chunk"])  # the window needs that shuffle too, and no table grows on the driver
     return joined.withColumn(name, F.col("__offset") + F.sum("__v").over(within)).drop("__v", "__chunk", "__offset")
 
 

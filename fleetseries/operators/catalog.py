@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 
 from fleetseries.functions.frames import bankers, beside, dense_index, let, quantiles, running_sum, settled
 from fleetseries.operators.faults import normal, uniform
-from fleetseries.operators.prep import KEYS, average_rank, labels_from_segments, segments
+from fleetseries.operators.prep import KEYS, average_rank, join_pieces, labels_from_segments, segment_pieces
 
 # -- clean windows -------------------------------------------------------------------------------------
 
 
-def window_candidates(series: DataFrame, guard: int, val: int, train: int, share: float, step: int = 128) -> DataFrame:
+def labelled_pieces(series: DataFrame) -> DataFrame:
+    """Pieces of each entity's runs without gaps, labelled points apart. The points are read once, here; all of clean windows is worked out from these."""
+    return segment_pieces(series, F.col("value").isNotNull(), ["entity"], F.col("label") == 1)
+
+
+def window_candidates(pieces: DataFrame, guard: int, val: int, train: int, share: float, step: int = 128) -> DataFrame:
     """(entity, a, b, n, s, bad): windows without gaps from a run's start, or guard steps after a label, to the run's end, whose
     first s steps and the guard before them hold no label and whose rest holds bad of them, one at least.
 
-    The points are read twice, for the runs and for the labels; all else is worked out from these. Labels and runs meet by
-    buckets of `step` steps; labels are counted up to three places of a window by running totals over both.
+    Labels and runs meet by buckets of `step` steps; labels are counted up to three places of a window by running totals over
+    both. Both come from small files of very many rows, which Spark would broadcast by the files' size: the hint forbids it.
     """
-    hits = settled(series.where("label = 1").select("entity", "t"))
-    ends = settled(segments(series, F.col("value").isNotNull(), ["entity"]).select("entity", F.col("start").alias("a0"), (F.col("stop") + 1).alias("b")))
+    hits = pieces.where("__alone IS NOT NULL").groupBy("entity", F.col("__alone").alias("t")).agg(F.sum("length").alias("c"))
+    runs = pieces.groupBy("entity", "__chunk", "__run").agg(*(f(n).alias(n) for f, n in ((F.min, "start"), (F.max, "stop"), (F.sum, "length"), (F.max, "__first"), (F.max, "__last"))))
+    ends = settled(join_pieces(runs, ["entity"]).select("entity", F.col("start").alias("a0"), (F.col("stop") + 1).alias("b")))
     dealt = ends.withColumn("__b", F.explode(F.sequence(F.floor(F.col("a0") / step), F.floor((F.col("b") - 1) / step))))
     later = hits.select("entity", (F.col("t") + 1 + guard).alias("a")).withColumn("__b", F.floor(F.col("a") / step))
-    after = later.join(dealt, ["entity", "__b"]).where((F.col("a") >= F.col("a0")) & (F.col("a") < F.col("b"))).select("entity", "a", "b")
+    after = later.join(dealt.hint("merge"), ["entity", "__b"]).where((F.col("a") >= F.col("a0")) & (F.col("a") < F.col("b"))).select("entity", "a", "b")
     cand = ends.select("entity", F.col("a0").alias("a"), "b").unionByName(after).distinct()
     length = F.col("b") - F.col("a")
     sized = cand.withColumns({"n": length, "s": bankers(0.5 * length)})
@@ -32,8 +38,8 @@ def window_candidates(series: DataFrame, guard: int, val: int, train: int, share
     window = F.struct("a", "b", "n", "s").alias("w")
     at = (F.col("a") - guard - 1, F.col("a") + F.col("s") - 1, F.col("b") - 1)
     asked = fits.select("entity", window, F.posexplode(F.array(*at)).alias("k", "t")).withColumn("t", 2 * F.col("t") + 1)  # after a label at the same step
-    both = hits.select("entity", (2 * F.col("t")).alias("t")).unionByName(asked, allowMissingColumns=True)
-    upto = running_sum(both, F.col("w").isNull().cast("long"), "__c", ("entity",)).where("w IS NOT NULL")
+    both = hits.select("entity", (2 * F.col("t")).alias("t"), "c").unionByName(asked, allowMissingColumns=True)
+    upto = running_sum(both, F.coalesce("c", F.lit(0)), "__c", ("entity",)).where("w IS NOT NULL")
     count = lambda k: F.max(F.when(F.col("k") == k, F.col("__c")))
     counted = upto.groupBy("entity", "w").agg(*(count(k).alias(f"c{k}") for k in range(3)))
     return counted.where("c1 = c0 AND c2 > c1").select("entity", "w.*", (F.col("c2") - F.col("c1")).alias("bad"))
@@ -53,13 +59,13 @@ def clean_windows(series: DataFrame, guard: int, val: int, train: int, share: fl
     train points at least, and each part a `share` of it. A window starts at a run's start or guard steps after a label.
     Of equally long windows the first counts.
     """
-    return longest_windows(window_candidates(series, guard, val, train, share), most_rate)
+    return longest_windows(window_candidates(labelled_pieces(series), guard, val, train, share), most_rate)
 
 
 def funnel(series: DataFrame, guard: int, val: int, train: int, most_rate: float) -> DataFrame:
     """(entity, reason): the first stage that turns a series down, or client."""
     any_ = series.groupBy("entity").agg(F.max("label").alias("any"))
-    candidates = settled(window_candidates(series, guard, val, train, 0.1))
+    candidates = settled(window_candidates(labelled_pieces(series), guard, val, train, 0.1))
     found = lambda rate, name: longest_windows(candidates, rate).select("entity", F.lit(1).alias(name))
     met = any_.join(found(None, "free"), "entity", "left").join(found(most_rate, "minor"), "entity", "left")
     reason = F.when(F.coalesce("any", F.lit(0)) == 0, "no_anomaly").when(F.col("free").isNull(), "no_clean_window").when(F.col("minor").isNull(), "anomaly_dominated").otherwise("client")
@@ -68,7 +74,7 @@ def funnel(series: DataFrame, guard: int, val: int, train: int, most_rate: float
 
 def fixed_parts(series: DataFrame, windows: DataFrame, val: int) -> DataFrame:
     """Points of each entity's window with part: the last `val` before the split are validation, those after it test."""
-    met = series.join(windows, "entity").where((F.col("t") >= F.col("a")) & (F.col("t") < F.col("b")))
+    met = series.join(windows.hint("shuffle_hash"), "entity").where((F.col("t") >= F.col("a")) & (F.col("t") < F.col("b")))
     part = F.when(F.col("t") >= F.col("split_at"), "test").when(F.col("t") >= F.col("split_at") - val, "val").otherwise("train")
     return met.withColumn("part", part).drop("a", "split_at", "b")
 

@@ -15,28 +15,43 @@ SCALE_FLOOR, WINDOW_FLOOR = 1e-4, 1e-4
 # -- labels and segments -------------------------------------------------------------------------------
 
 
-def segments(series: DataFrame, flag: Column | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Maximal runs of labelled points: start, stop (inclusive) and length."""
-    keys = keys or KEYS
-    mark = F.coalesce(F.col("label") == 1 if flag is None else flag, F.lit(False))
+def segment_pieces(series: DataFrame, flag: Column, keys: list[str], alone: Column | None = None) -> DataFrame:
+    """What join_pieces makes segments of, settled: a row a run within a chunk of the time axis, and one for what lies between a chunk's runs.
+
+    Points where `alone` holds are rows of their own, with their step as __alone: one reading of series finds both.
+    """
+    mark = F.coalesce(flag, F.lit(False))
+    own = [] if alone is None else ["__alone"]
     chunk = W.partitionBy(*keys, "__chunk").orderBy("t")
-    rows = series.select(*keys, "t", mark.alias("__f"), F.floor(F.col("t") / CHUNK).alias("__chunk"))
+    rows = series.select(*keys, "t", mark.alias("__f"), F.floor(F.col("t") / CHUNK).alias("__chunk"), *(F.when(alone, F.col("t")).alias(n) for n in own))
     near = rows.withColumns({"__p": F.lag("__f").over(chunk), "__last": F.lead("__f").over(chunk).isNull()})
     begins = F.col("__f") & ~F.coalesce("__p", F.lit(False))
     told = near.withColumn("__run", F.when(F.col("__f"), F.sum(begins.cast("long")).over(chunk.rowsBetween(W.unboundedPreceding, 0))))
-    # a run within a chunk is a row, and so is what lies between a chunk's runs; only the first and last of a chunk can go on elsewhere
-    pieces = settled(told.groupBy(*keys, "__chunk", "__run").agg(
+    return settled(told.groupBy(*keys, "__chunk", "__run", *own).agg(
         F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("length"),
         F.max(F.col("__p").isNull()).alias("__first"), F.max("__last").alias("__last"),
     ))
+
+
+def join_pieces(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """segments of segment_pieces without `alone`. Only the first and last run of a chunk can go on elsewhere.
+
+    On disk the pieces are many times smaller than in memory, so Spark would take them for a table to broadcast: the hint forbids it.
+    """
     line = W.partitionBy(*keys).orderBy("__chunk")
     ends = pieces.groupBy(*keys, "__chunk").agg(F.max(F.col("__run").isNotNull() & F.col("__last")).alias("__open"))
     left = ends.select(*keys, "__chunk", F.coalesce(F.lag("__open").over(line), F.lit(False)).alias("__open"))
-    flagged = pieces.where("__run IS NOT NULL").join(left, [*keys, "__chunk"]).withColumn("t", F.col("start"))
+    flagged = pieces.where("__run IS NOT NULL").join(left.hint("shuffle_hash"), [*keys, "__chunk"]).withColumn("t", F.col("start"))
     found = running_sum(flagged, (~(F.col("__first") & F.col("__open"))).cast("long"), "run_id", tuple(keys))
     return found.groupBy(*keys, "run_id").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("length").alias("length"))
 
 
+def segments(series: DataFrame, flag: Column | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Maximal runs of labelled points: start, stop (inclusive) and length."""
+    keys = keys or KEYS
+    return join_pieces(segment_pieces(series, F.col("label") == 1 if flag is None else flag, keys), keys)
+
+
 def labels_from_segments(series: DataFrame, spans: DataFrame, keys: list[str] | None = None, step: int = 1024) -> DataFrame:
     """series with label 1 inside any span (inclusive). Spans meet points by buckets of `step` steps: of those that begin at one step of a bucket the longest counts, so a bucket's list holds `step` spans at most."""
     keys = keys or KEYS

@@ -421,7 +421,7 @@ CLEAN = {"guard": 3, "val": 6, "train": 12}
 def incidents(spark, d):
     s = daily(spark, d)
     edge = s.groupBy("entity").agg((F.avg("value") + 3 * F.stddev_pop("value")).alias("edge"))
-    return s.join(edge, "entity").withColumn("label", (F.col("value") > F.col("edge")).cast("int")).withColumn("value", F.when(F.col("t") % 97 >= 3, F.col("value"))).drop("edge")
+    return s.join(edge.hint("shuffle_hash"), "entity").withColumn("label", (F.col("value") > F.col("edge")).cast("int")).withColumn("value", F.when(F.col("t") % 97 >= 3, F.col("value"))).drop("edge")
 
 
 @query("c3_clean_window", "SELECT entity, a, split_at, b FROM bw", CLEAN_SQL)

@@ -113,7 +113,7 @@ def daily_from_lineitem(lineitem: DataFrame, supplier: DataFrame) -> DataFrame:
     gaps = met.withColumns({
         "from": F.when(F.row_number().over(w) == 1, F.lit(0)).otherwise(F.col("at")).cast("long"), "to": F.coalesce(F.lead("at").over(w) - 1, place("high")),
     }).where("`from` <= `to`")
-    dense = gaps.join(named, "entity").withColumn("t", F.explode(F.sequence("from", "to")))
+    dense = gaps.join(named.hint("shuffle_hash"), "entity").withColumn("t", F.explode(F.sequence("from", "to")))
     return dense.select(
         "entity", "cluster", F.lit("train").alias("split"), F.lit(0).alias("channel"), "t", F.date_add("low", F.col("t").cast("int")).alias("day"),
         F.coalesce(F.when(F.col("t") == F.col("at"), F.col("sold")), F.lit(0.0)).alias("value"),

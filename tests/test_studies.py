@@ -156,3 +156,28 @@ def test_window_moments_are_worked_out_once(spark):
     assert np.allclose(got.z, (x - x.mean()) / x.std(ddof=1)) and np.allclose(got.m, (x - x.min()) / np.ptp(x))
     plan = w.select(prep.standardise_window(F.col("w")).alias("z"))._jdf.queryExecution().analyzed().toString()
     assert len(re.findall(r"\baggregate\(", plan.split("\n")[0])) == 2, plan
+
+
+def many(spark, tmp_path, entities=60, n=120):
+    """Series of random labels and gaps, read from a file, and each entity's labels and known points."""
+    rng, made = np.random.default_rng(4), {}
+    for k in range(entities):
+        made[f"e{k}"] = ((rng.random(n) < (0, 0.01, 0.03, 0.1)[k % 4]).astype(int).tolist(), (rng.random(n) > 0.02).tolist())
+    rows = [(e, "c", "test", 0, t, 1.0 if ok[t] else None, label[t]) for e, (label, ok) in made.items() for t in range(n)]
+    spark.createDataFrame(rows, SERIES).write.parquet(f"{tmp_path}/points")
+    return spark.read.parquet(f"{tmp_path}/points"), made
+
+
+def test_tables_that_are_small_on_disk_alone_are_not_broadcast(spark, tmp_path):
+    points, made = many(spark, tmp_path)
+    windows = catalog.clean_windows(points, 2, 2, 4, most_rate=0.1)
+    parts = catalog.fixed_parts(points, windows, 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")  # over each file written here, below what Spark expects of a join of two
+    try:
+        for out in (prep.segments(points), windows, parts):
+            assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r.entity: r.n for r in parts.groupBy("entity").agg(F.count("*").alias("n")).collect()}
+    want = {e: clean_by_loop(*x, 2, 2, 4, 0.1) for e, x in made.items()}
+    assert got and got == {e: w[2] - w[0] for e, w in want.items() if w}
