@@ -64,11 +64,11 @@ def clean_windows(series: DataFrame, guard: int, val: int, train: int, share: fl
 
 def funnel(series: DataFrame, guard: int, val: int, train: int, most_rate: float) -> DataFrame:
     """(entity, reason): the first stage that turns a series down, or client."""
-    any_ = series.groupBy("entity").agg(F.max("label").alias("any"))
-    candidates = settled(window_candidates(labelled_pieces(series), guard, val, train, 0.1))
-    found = lambda rate, name: longest_windows(candidates, rate).select("entity", F.lit(1).alias(name))
-    met = any_.join(found(None, "free"), "entity", "left").join(found(most_rate, "minor"), "entity", "left")
-    reason = F.when(F.coalesce("any", F.lit(0)) == 0, "no_anomaly").when(F.col("free").isNull(), "no_clean_window").when(F.col("minor").isNull(), "anomaly_dominated").otherwise("client")
+    pieces = labelled_pieces(series)
+    any_ = pieces.groupBy("entity").agg(F.max(F.col("__alone").isNotNull()).alias("any"))
+    found = window_candidates(pieces, guard, val, train, 0.1).groupBy("entity").agg(F.max(F.col("bad") <= most_rate * (F.col("n") - F.col("s"))).alias("minor"))
+    met = any_.join(found, "entity", "left")
+    reason = F.when(~F.col("any"), "no_anomaly").when(F.col("minor").isNull(), "no_clean_window").when(~F.col("minor"), "anomaly_dominated").otherwise("client")
     return met.select("entity", reason.alias("reason"))
 
 

@@ -174,10 +174,20 @@ def test_tables_that_are_small_on_disk_alone_are_not_broadcast(spark, tmp_path):
     parts = catalog.fixed_parts(points, windows, 2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")  # over each file written here, below what Spark expects of a join of two
     try:
-        for out in (prep.segments(points), windows, parts):
+        for out in (prep.segments(points), windows, parts, catalog.funnel(points, 2, 2, 4, 0.1)):
             assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     got = {r.entity: r.n for r in parts.groupBy("entity").agg(F.count("*").alias("n")).collect()}
     want = {e: clean_by_loop(*x, 2, 2, 4, 0.1) for e, x in made.items()}
     assert got and got == {e: w[2] - w[0] for e, w in want.items() if w}
+
+
+def test_funnel_reads_points_once_and_equals_a_loop(spark, tmp_path):
+    points, made = many(spark, tmp_path)
+    out = catalog.funnel(points, 2, 2, 4, 0.1)
+    assert not [f for f in out.inputFiles() if f"{tmp_path}/points" in f]
+    found = lambda x, rate: clean_by_loop(*x, 2, 2, 4, rate) is not None
+    reason = lambda x: "no_anomaly" if not sum(x[0]) else "client" if found(x, 0.1) else "anomaly_dominated" if found(x, 1) else "no_clean_window"
+    want = {e: reason(x) for e, x in made.items()}
+    assert {r.entity: r.reason for r in out.collect()} == want and len(set(want.values())) == 4
